@@ -1,9 +1,7 @@
-"""Table contracts and the fixed column lists of the churn data model."""
+"""Table contracts (as DDL) and the fixed column lists of the churn data model."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Service flags per category, in file order.
 SERVICES_BY_CATEGORY = {
     "Connectivity": ["Internet_Leased_Line", "Dedicated_Internet", "MPLS_VPN", "SD_WAN",
@@ -19,7 +17,7 @@ SERVICES = [s for group in SERVICES_BY_CATEGORY.values() for s in group]
 _FLAGS = ", ".join(f"{s} INT" for s in SERVICES)
 
 # The wide customer file, by position. Money is DECIMAL so that sums are exact.
-CUSTOMERS = T.StructType.fromDDL(f"""
+CUSTOMERS = f"""
     Customer_ID STRING, Company_Name STRING, Company_Size STRING, Industry STRING,
     Customer_Type STRING, Customer_Segment STRING, Years_With_Provider DOUBLE,
     State STRING, City STRING, Region STRING, Pincode_Zone INT, {_FLAGS},
@@ -36,15 +34,15 @@ CUSTOMERS = T.StructType.fromDDL(f"""
     Competitor_Price_Difference DOUBLE, Competitor_Service_Rating DOUBLE,
     Competitor_Offer STRING, Competitor_Threat_Level STRING, Churn INT, Churn_Date DATE,
     Churn_Reason STRING, Churn_Category STRING
-""")
+"""
 
-SERVICE_CATALOG = T.StructType.fromDDL("Service_Name STRING, Service_Category STRING")
-CUSTOMER_SERVICES = T.StructType.fromDDL("Customer_ID STRING, Service_Name STRING")
+SERVICE_CATALOG = "Service_Name STRING, Service_Category STRING"
+CUSTOMER_SERVICES = "Customer_ID STRING, Service_Name STRING"
 
-PREDICTIONS_SQL = T.StructType.fromDDL("""
+PREDICTIONS_SQL = """
     Customer_ID STRING, Churn_Probability DECIMAL(6,4), Risk_Category STRING,
     Revenue_at_Risk DECIMAL(14,2), Main_Risk_Factor STRING, Recommended_Action STRING
-""")
+"""
 
 # Column order of the two prediction exports.
 PREDICTION_COLUMNS = [
@@ -52,7 +50,8 @@ PREDICTION_COLUMNS = [
     "Churn_Probability", "Risk_Category", "Revenue_at_Risk", "CLV", "Retention_Priority_Score",
     "Retention_Priority_Bucket", "Main_Risk_Factor", "Top_Risk_Factors", "Recommended_Action",
 ]
-PREDICTION_SQL_COLUMNS = PREDICTIONS_SQL.fieldNames()
+PREDICTION_SQL_COLUMNS = ["Customer_ID", "Churn_Probability", "Risk_Category", "Revenue_at_Risk",
+                          "Main_Risk_Factor", "Recommended_Action"]
 
 # Columns that are empty by design; '' and 'None' in files mean NULL here.
 STRUCTURAL_NULLS = ["Churn_Date", "Churn_Reason", "Churn_Category", "Competitor_Offer"]

@@ -22,6 +22,16 @@ def lifetime_value() -> Column:
     return F.col("Annual_Contract_Value").cast("double") * (years + horizon) / (years + 1)
 
 
+def lifetime_value_cents() -> Column:
+    """The same to the cent, in DECIMAL on the contract's digits so that rounding is exact."""
+    years = F.col("Years_With_Provider").cast("decimal(5,1)")
+    half = F.col("Customer_Satisfaction_Score").cast("decimal(4,1)") * F.lit("0.5").cast("decimal(2,1)")
+    horizon = F.when(half.isNotNull(), F.greatest(
+        F.lit("0.5").cast("decimal(6,2)"), F.least(F.lit("5").cast("decimal(6,2)"), half)))
+    value = F.col("Annual_Contract_Value").cast("decimal(14,2)") * (years + horizon) / (years + 1)
+    return F.round(value, 2).cast("double")
+
+
 def engineer(df: DataFrame) -> DataFrame:
     c = F.col
     df = df.withColumns({

@@ -34,7 +34,7 @@ class Population:
         """
         top = accounts.agg(
             F.max(F.col("Annual_Contract_Value").cast("double")).alias("acv"),
-            F.max(F.round(features.lifetime_value(), 2)).alias("clv"),
+            F.max(features.lifetime_value_cents()).alias("clv"),
             F.max(F.col("Number_of_Services").cast("double")).alias("services")).first()
         pct = ranks.average_rank_pct()
         cuts = ranks.running_counts(accounts, ["Annual_Contract_Value"]).agg(
@@ -91,7 +91,7 @@ def enrich(scored: DataFrame, contributions: dict[str, Column], pop: Population)
     df = scored.withColumns({
         "Risk_Category": rules.risk_tier(prob),
         "Revenue_at_Risk": rules.revenue_at_risk(F.col("Annual_Contract_Value"), prob),
-        "CLV": F.round(features.lifetime_value(), 2),
+        "CLV": features.lifetime_value_cents(),
     })
     df = df.withColumns({
         "Retention_Priority_Score": priority_score(pop, prob, acv, F.col("CLV")),

@@ -287,7 +287,7 @@ def fk_orphans(spark, sf_dir):
 # --- Features ------------------------------------------------------------------------------
 
 on_accounts("feature_clv", lambda a: a.select(
-    "Customer_ID", F.round(features.lifetime_value(), 2).alias("CLV")))
+    "Customer_ID", features.lifetime_value_cents().alias("CLV")))
 on_accounts("features", lambda a: features.engineer(a).select(
     "Customer_ID", *[f for f in features.ENGINEERED if f != "CLV"]))
 

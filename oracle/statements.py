@@ -247,10 +247,10 @@ _DRIVERS = ("Downtime_Hours", "Number_of_Outages", "SLA_Breaches", "Support_Resp
             "Packet_Loss_Percentage", "Average_Latency_ms", "Customer_Satisfaction_Score",
             "NPS_Score", "Network_Uptime", "Years_With_Provider", "Number_of_Services",
             "Service_Quality_Score", "Churn")
-check("corr_matrix", "acct", ", m AS (SELECT " + ", ".join(
+check("corr_matrix", "acct", ", mtx AS (SELECT " + ", ".join(
     f"round(corr({a}, {b}), 6) AS \"{a}|{b}\"" for a in _DRIVERS for b in _DRIVERS)
     + " FROM acct) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS Column_A, '{b}' AS Column_B, \"{a}|{b}\" AS Correlation FROM m"
+    f"SELECT '{a}' AS Column_A, '{b}' AS Column_B, \"{a}|{b}\" AS Correlation FROM mtx"
     for a in _DRIVERS for b in _DRIVERS))
 check("corr_with_churn", "acct", " UNION ALL ".join(
     f"SELECT '{c}' AS Driver, round(corr({c}, Churn), 6) AS Correlation FROM acct"
@@ -367,7 +367,8 @@ SELECT Customer_ID,
   round(Number_of_Complaints * (10 - Customer_Satisfaction_Score), 6) AS Complaint_Satisfaction_Gap,
   CASE WHEN Contract_Remaining_Months <= 3 THEN 1 ELSE 0 END AS Contract_Ending_Soon,
   CASE WHEN Competitor_Considered = 1 THEN -Competitor_Price_Difference ELSE 0 END AS Price_Pressure,
-  round(Downtime_Hours * CAST(Annual_Contract_Value AS DOUBLE) / 1000000, 6) AS Revenue_Weighted_Downtime,
+  CAST(round(CAST(Downtime_Hours AS DECIMAL(8,1)) * Annual_Contract_Value
+    * CAST(0.000001 AS DECIMAL(7,6)), 6) AS DOUBLE) AS Revenue_Weighted_Downtime,
   size_rank AS Company_Size_Rank,
   round(CAST(Number_of_Services AS DOUBLE) / (size_rank + 1), 6) AS Services_per_Size_Tier
 FROM (SELECT *, CASE Company_Size WHEN 'Small' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Large' THEN 2

@@ -44,7 +44,8 @@ def engineer(df: DataFrame) -> DataFrame:
         "Price_Pressure": F.when(c("Competitor_Considered") == 1,
                                  -c("Competitor_Price_Difference")).otherwise(0.0),
         "Revenue_Weighted_Downtime":
-            c("Downtime_Hours") * c("Annual_Contract_Value").cast("double") / 1_000_000,
+            (c("Downtime_Hours").cast("decimal(8,1)") * c("Annual_Contract_Value").cast("decimal(14,2)")
+             / 1_000_000).cast("double"),
         "Company_Size_Rank": rules.size_rank(c("Company_Size")),
     })
     return df.withColumn("Services_per_Size_Tier",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate import schemas
@@ -14,13 +14,21 @@ def _tall(df: DataFrame, entries: list[tuple]) -> DataFrame:
     return df.select(F.inline(F.array(*[F.struct(*e) for e in entries])))
 
 
+def _null_counts(df: DataFrame) -> list[Column]:
+    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
+
+
+def _range_counts(df: DataFrame) -> list[Column]:
+    return [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"range_{c}")
+            for c, (lo, hi) in schemas.VALUE_RANGES.items() if c in df.columns]
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """Null count, percentage and expectedness of every column that has nulls."""
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"),
-                     *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *_null_counts(df))
     rows = _tall(counted, [
-        (F.lit(c).alias("Column_Name"), F.col(c).alias("Null_Count"),
-         F.round(F.try_divide(F.col(c) * 100.0, F.col("_rows")), 2).alias("Null_Pct"),
+        (F.lit(c).alias("Column_Name"), F.col(f"null_{c}").alias("Null_Count"),
+         F.round(F.try_divide(F.col(f"null_{c}") * 100.0, F.col("_rows")), 2).alias("Null_Pct"),
          F.lit(c in schemas.STRUCTURAL_NULLS).alias("Expected")) for c in df.columns])
     return rows.filter(F.col("Null_Count") > 0)
 
@@ -36,11 +44,9 @@ def duplicate_profile(df: DataFrame, key: str = "Customer_ID") -> DataFrame:
 
 def range_violations(df: DataFrame) -> DataFrame:
     """Rows outside the bounds of each bounded metric; clean metrics are not listed."""
-    present = {c: b for c, b in schemas.VALUE_RANGES.items() if c in df.columns}
-    counted = df.agg(*[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c)
-                       for c, (lo, hi) in present.items()])
-    rows = _tall(counted, [(F.lit(c).alias("Metric"), F.col(c).alias("Violations"))
-                           for c in present])
+    present = [c for c in schemas.VALUE_RANGES if c in df.columns]
+    rows = _tall(df.agg(*_range_counts(df)), [
+        (F.lit(c).alias("Metric"), F.col(f"range_{c}").alias("Violations")) for c in present])
     return rows.filter(F.col("Violations") > 0)
 
 
@@ -123,19 +129,25 @@ def integrity_report(customers: DataFrame, bridge: DataFrame, catalog: DataFrame
 
 
 def validation_report(df: DataFrame, key: str = "Customer_ID") -> DataFrame:
-    """All checks as (Check_Name, Item, Value) rows."""
-    rows = df.agg(F.count(F.lit(1)).alias("Value")).select(
-        F.lit("rows").alias("Check_Name"), F.lit("loaded").alias("Item"), "Value")
-    nulls = null_profile(df).select(
-        F.when(F.col("Expected"), "null_expected").otherwise("null_unexpected").alias("Check_Name"),
-        F.col("Column_Name").alias("Item"), F.col("Null_Count").alias("Value"))
+    """All checks as (Check_Name, Item, Value) rows.
+
+    Row, null and range counts come from one pass; the duplicate counts need their own.
+    """
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *_null_counts(df), *_range_counts(df))
+
+    def entry(check: str, item: str, value: str) -> tuple[Column, Column, Column]:
+        return (F.lit(check).alias("Check_Name"), F.lit(item).alias("Item"),
+                F.col(value).alias("Value"))
+
+    entries = [entry("rows", "loaded", "_rows")]
+    entries += [entry("null_expected" if c in schemas.STRUCTURAL_NULLS else "null_unexpected",
+                      c, f"null_{c}") for c in df.columns]
+    entries += [entry("range", c, f"range_{c}") for c in schemas.VALUE_RANGES if c in df.columns]
+    found = _tall(counted, entries).filter((F.col("Check_Name") == "rows") | (F.col("Value") > 0))
     dupes = duplicate_profile(df, key).select(
         F.lit("duplicate").alias("Check_Name"), F.col("Scope").alias("Item"),
         F.col("Duplicates").alias("Value"))
-    ranges = range_violations(df).select(
-        F.lit("range").alias("Check_Name"), F.col("Metric").alias("Item"),
-        F.col("Violations").alias("Value"))
-    return rows.unionByName(nulls).unionByName(dupes).unionByName(ranges)
+    return found.unionByName(dupes)
 
 
 def validate(df: DataFrame, key: str = "Customer_ID",

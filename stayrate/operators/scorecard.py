@@ -46,6 +46,10 @@ def _inputs() -> dict[str, Column]:
     return {name: derived.get(name, F.col(name)) for name in names}
 
 
+def sigmoid(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-logit))
+
+
 @dataclass(frozen=True)
 class Scorecard:
     """Fixed weights with the statistics of the population they were fitted on."""
@@ -72,12 +76,26 @@ class Scorecard:
             1 - inputs["Competitor_Price_Difference"] / 100)
         return terms
 
-    def probability(self, replaced: dict[str, Column] | None = None) -> Column:
+    def logit(self) -> Column:
+        total = F.lit(INTERCEPT)
+        for term in self.contributions().values():
+            total = total + term
+        return total
+
+    def logit_change(self, replaced: dict[str, Column]) -> Column:
+        """How much the logit moves when inputs are replaced; only their terms are computed."""
+        affected = {"Competitor_Considered": "Competitor_Pressure",
+                    "Competitor_Price_Difference": "Competitor_Pressure"}
+        before, after = self.contributions(), self.contributions(replaced)
+        change = F.lit(0.0)
+        for term in dict.fromkeys(affected.get(name, name) for name in replaced):
+            if term in after:
+                change = change + (after[term] - before[term])
+        return change
+
+    def probability(self) -> Column:
         """Unrounded churn probability."""
-        logit = F.lit(INTERCEPT)
-        for term in self.contributions(replaced).values():
-            logit = logit + term
-        return 1 / (1 + F.exp(-logit))
+        return sigmoid(self.logit())
 
     def score(self, df: DataFrame, alias: str = "Churn_Probability") -> DataFrame:
         return df.withColumn(alias, F.round(self.probability(), 4))

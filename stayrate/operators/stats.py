@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,21 +95,23 @@ def boxplot(df: DataFrame, columns: list[str], by: str) -> DataFrame:
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("Outliers")))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair (A before B), from one aggregation."""
-    pairs = list(combinations(columns, 2))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    row = doubles.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[
+def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation per column pair over the rows where both are present.
+
+    Each row fans out to its pairs inside the scan's stage and is combined there, so the
+    exchange carries one partial result per pair and task. A constant column gives NULL.
+    """
+    stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("Column_A"), F.lit(b).alias("Column_B"),
-                 F.nanvl(F.col(f"{i}"), F.lit(None).cast("double")).alias("Correlation"))
-        for i, (a, b) in enumerate(pairs)])))
+                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs])))
+    return stacked.groupBy("Column_A", "Column_B").agg(
+        F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")).alias("Correlation"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """The full symmetric matrix in long form, diagonal included."""
-    half = correlations(df, columns)
-    flip = half.select(F.col("Column_B").alias("Column_A"), F.col("Column_A").alias("Column_B"),
-                       "Correlation")
-    own = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], half.schema)
-    return half.unionByName(flip).unionByName(own)
+    half = correlations(df, list(combinations_with_replacement(columns, 2)))
+    flip = half.filter(F.col("Column_A") != F.col("Column_B")).select(
+        F.col("Column_B").alias("Column_A"), F.col("Column_A").alias("Column_B"), "Correlation")
+    return half.unionByName(flip)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stayrate import schemas
 from stayrate.functions import measures as m
 from stayrate.functions import rules
+from stayrate.session import literal_rows
 
 
 def calendar(bounds: DataFrame, start: str, end: str) -> DataFrame:
@@ -87,8 +88,8 @@ def kpi_risk(scored: DataFrame) -> DataFrame:
 
 def risk_distribution(scored: DataFrame) -> DataFrame:
     """Accounts per tier in tier order; a tier without accounts has NULL."""
-    tiers = scored.sparkSession.createDataFrame(
-        list(enumerate(schemas.RISK_LEVELS, 1)), "Tier_Order BIGINT, Risk_Category STRING")
+    tiers = literal_rows(scored.sparkSession, "Tier_Order BIGINT, Risk_Category STRING",
+                         list(enumerate(schemas.RISK_LEVELS, 1)))
     counts = scored.groupBy("Risk_Category").agg(F.count(F.lit(1)).alias("Customers"))
     return tiers.join(counts, "Risk_Category", "left").orderBy("Tier_Order")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,15 @@ def class_balance(df: DataFrame, label: str = schemas.TARGET) -> DataFrame:
 
 def corr_with_churn(customers: DataFrame) -> DataFrame:
     """Churn drivers by strength of their correlation with churn, undefined ones last."""
-    pairs = stats.correlations(customers, schemas.CHURN_DRIVERS)
-    return (pairs.filter(F.col("Column_B") == "Churn")
-            .select(F.col("Column_A").alias("Driver"), F.round("Correlation", 6).alias("Correlation"))
+    drivers = [c for c in schemas.CHURN_DRIVERS if c != schemas.TARGET]
+    pairs = stats.correlations(customers, [(c, schemas.TARGET) for c in drivers])
+    return (pairs.select(F.col("Column_A").alias("Driver"), F.round("Correlation", 6).alias("Correlation"))
             .orderBy(F.desc_nulls_last(F.abs("Correlation")), "Driver"))
 
 
 def collinear_pairs(customers: DataFrame, threshold: float = 0.9) -> DataFrame:
     columns = [c for c in schemas.COLLINEAR_CANDIDATES if c in customers.columns]
-    pairs = stats.correlations(customers, columns)
+    pairs = stats.correlations(customers, list(combinations(columns, 2)))
     return (pairs.withColumn("Correlation", F.round("Correlation", 6))
             .filter(F.abs("Correlation") > threshold))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.functions import rules
-from stayrate.operators import quality, scoring
+from stayrate.operators import features, quality, scoring
 from stayrate.operators.models import ChurnModel
 from stayrate.operators.scorecard import Scorecard
 from stayrate.sources import staging
@@ -20,14 +20,19 @@ def complete_accounts(accounts: DataFrame) -> DataFrame:
 
 
 def score_with_scorecard(accounts: DataFrame) -> DataFrame:
-    """Clean the accounts, score them, and derive every prediction column."""
-    clean = quality.keep_first(quality.fill_structural_nulls(complete_accounts(accounts)))
+    """Clean the accounts, score them, and derive every prediction column.
+
+    The clean rows are written once: three statistics passes and the scoring read them.
+    """
+    clean = staging.materialized(
+        quality.keep_first(quality.fill_structural_nulls(complete_accounts(accounts))), "clean")
     return scoring.score_accounts(clean, Scorecard.fit(clean), scoring.Population.fit(clean))
 
 
 def score_with_model(accounts: DataFrame, model: ChurnModel) -> DataFrame:
-    """The same job on a trained classifier."""
-    return scoring.enrich(model.score(accounts), model.contributions(accounts),
+    """The same derivation on a trained classifier; reasons may name engineered inputs."""
+    inputs = features.engineer(accounts)
+    return scoring.enrich(model.score(inputs), model.contributions(accounts),
                           scoring.Population.fit(accounts))
 
 

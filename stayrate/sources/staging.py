@@ -46,6 +46,18 @@ def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     return spark.table(_written[key])
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for frames read several times.
+
+    Unlike a cache it survives lost executors, and later passes read only their columns.
+    """
+    if shared_dir(df.sparkSession) is None:
+        return df
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "account", lambda: accounts.derive_accounts(spark, sf_dir))
 

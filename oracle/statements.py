@@ -177,21 +177,23 @@ SELECT Customer_ID, Company_Name, Industry, State,
 FROM risk WHERE Churn = 0 ORDER BY Retention_Priority_Score DESC, Customer_ID LIMIT 25""")
 
 # --- Exploration
-check("state_rate_vs_volume", "account", f"""
-, s AS (SELECT State, count(*) AS Total_Customers, {CHURNED} AS Churned_Customers,
+for name, key, top, least in (("state_rate_vs_volume", "State", 10, 0),
+                              ("city_rate_vs_volume", "City", 15, 25)):
+    check(name, "account", f"""
+, s AS (SELECT {key}, count(*) AS Total_Customers, {CHURNED} AS Churned_Customers,
           {RATE} AS Churn_Rate_Pct, {LOST} AS Revenue_at_Risk,
-          count(*) - {CHURNED} AS Active_Customers FROM account GROUP BY State)
-SELECT *, 'rate' AS Ranking, row_number() OVER (ORDER BY Churn_Rate_Pct DESC, State) AS Position
-FROM s QUALIFY Position <= 10
+          count(*) - {CHURNED} AS Active_Customers FROM account GROUP BY {key})
+SELECT *, 'rate' AS Ranking, row_number() OVER (ORDER BY Churn_Rate_Pct DESC, {key}) AS Position
+FROM s WHERE Total_Customers >= {least} QUALIFY Position <= {top}
 UNION ALL
-SELECT *, 'volume', row_number() OVER (ORDER BY Churned_Customers DESC, State) AS Position
-FROM s QUALIFY Position <= 10""")
+SELECT *, 'volume', row_number() OVER (ORDER BY Churned_Customers DESC, {key}) AS Position
+FROM s QUALIFY Position <= {top}""")
 check("service_churn_wide", "wide", " UNION ALL ".join(
     f"SELECT 'Service_{i}' AS Service, count(*) AS Customers, {RATE} AS Churn_Rate_Pct, "
     f"{LOST} AS Revenue_at_Risk FROM wide WHERE Service_{i} = 1 HAVING count(*) > 0"
     for i in range(1, 6)))
 check("value_counts", "account", """
-SELECT * FROM (
+SELECT Column_Name, Value, Customers FROM (
   SELECT Column_Name, Value, count(*) AS Customers,
     row_number() OVER (PARTITION BY Column_Name ORDER BY count(*) DESC, Value) AS Position
   FROM (""" + " UNION ALL ".join(

@@ -118,7 +118,8 @@ def stratified_split(df: DataFrame, label: str = schemas.TARGET, key: str = "Cus
     """
     hashed = df.withColumn("_h", spread(df, key, seed))
     wanted = F.floor(F.col("total_n") * share + 0.5)
-    cuts = (ranks.running_counts(hashed, ["_h"], by=(label,))
+    edges = [ranks.even_edges(df, 0, HASH_MODULUS)]
+    cuts = (ranks.running_counts(hashed, ["_h"], by=(label,), edges=edges)
             .groupBy(label).agg(F.max(F.when(F.col("before_n") < wanted, F.col("value"))).alias("cut"))
             .collect())
     marked = F.lit(False)

@@ -33,27 +33,35 @@ def _edges(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]
     return edges
 
 
-def _bucketize(df: DataFrame, columns: list[str], buckets: int | None) -> DataFrame:
+def even_edges(df: DataFrame, low: float, high: float) -> list[float]:
+    """Equal-width edges, for values known to be spread evenly over [low, high)."""
+    n = _default_buckets(df)
+    return [-math.inf, *[low + (high - low) * i / n for i in range(1, n)], math.inf]
+
+
+def _bucketize(df: DataFrame, columns: list[str], buckets: int | None,
+               edges: list[list[float]] | None = None) -> DataFrame:
     """Add ``_b_<column>``: the ordinal of the value range a value falls in."""
-    edges = _edges(df, columns, buckets or _default_buckets(df))
+    edges = edges or _edges(df, columns, buckets or _default_buckets(df))
     return Bucketizer(inputCols=columns, outputCols=[f"_b_{c}" for c in columns],
                       splitsArray=edges, handleInvalid="keep").transform(df)
 
 
 def running_counts(df: DataFrame, columns: list[str], by: tuple[str, ...] = (),
                    weights: dict[str, Column] | None = None,
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None,
+                   edges: list[list[float]] | None = None) -> DataFrame:
     """Per distinct value of each column: its count, the count below it and the total.
 
     Returns ``(*by, metric, value, n, before_n, total_n)``, with three such columns per
     entry of ``weights`` (integer per-row weights; default ``n`` = 1). NULLs do not count.
-    ``by`` must be low-cardinality.
+    ``by`` must be low-cardinality. ``edges`` replaces the sketched bucket edges.
     """
     weights = weights or {"n": F.lit(1)}
     named = [f"_v_{c}" for c in columns]
     work = df.select(*by, *[F.col(c).cast("double").alias(v) for c, v in zip(columns, named)],
                      *[w.cast("bigint").alias(f"_w_{k}") for k, w in weights.items()])
-    work = _bucketize(work, named, buckets)
+    work = _bucketize(work, named, buckets, edges)
     stacked = work.select(*by, *[f"_w_{k}" for k in weights], F.inline(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(v).alias("value"),
                  F.col(f"_b_{v}").cast("int").alias("_bucket"))

@@ -32,7 +32,7 @@ WEIGHTS = {
     "Company_Size_Rank": -0.18,
     "Contract_Window": 0.15,
 }
-COMPETITOR_WEIGHT = 0.40
+COMPETITOR_TERM, COMPETITOR_WEIGHT = "Competitor_Pressure", 0.40
 INTERCEPT = -2.35
 
 
@@ -61,20 +61,18 @@ class Scorecard:
         inputs = _inputs()
         return cls(stats.moments(population, {name: inputs[name] for name in WEIGHTS}))
 
-    def contributions(self, replaced: dict[str, Column] | None = None) -> dict[str, Column]:
-        """Logit contribution of each input; the competitor term is not standardized.
-
-        ``replaced`` puts an expression in the place of an input, for what-if scoring.
-        """
-        inputs = {**_inputs(), **(replaced or {})}
-        terms = {}
-        for name, weight in WEIGHTS.items():
-            mean, std = self.moments[name]
-            z = (inputs[name].cast("double") - F.lit(mean)) / F.lit(std + 1e-9)
-            terms[name] = F.lit(weight) * z
-        terms["Competitor_Pressure"] = F.lit(COMPETITOR_WEIGHT) * inputs["Competitor_Considered"] * (
-            1 - inputs["Competitor_Price_Difference"] / 100)
-        return terms
+    def _term(self, name: str, inputs: dict[str, Column]) -> Column:
+        if name == COMPETITOR_TERM:
+            return F.lit(COMPETITOR_WEIGHT) * inputs["Competitor_Considered"] * (
+                1 - inputs["Competitor_Price_Difference"] / 100)
+        mean, std = self.moments[name]
+        z = (inputs[name].cast("double") - F.lit(mean)) / F.lit(std + 1e-9)
+        return F.lit(WEIGHTS[name]) * z
+
+    def contributions(self) -> dict[str, Column]:
+        """Logit contribution of each input; the competitor term is not standardized."""
+        inputs = _inputs()
+        return {name: self._term(name, inputs) for name in [*WEIGHTS, COMPETITOR_TERM]}
 
     def logit(self) -> Column:
         total = F.lit(INTERCEPT)
@@ -84,13 +82,13 @@ class Scorecard:
 
     def logit_change(self, replaced: dict[str, Column]) -> Column:
         """How much the logit moves when inputs are replaced; only their terms are computed."""
-        affected = {"Competitor_Considered": "Competitor_Pressure",
-                    "Competitor_Price_Difference": "Competitor_Pressure"}
-        before, after = self.contributions(), self.contributions(replaced)
+        inputs = _inputs()
+        moved = {**inputs, **replaced}
+        terms = dict.fromkeys(COMPETITOR_TERM if n.startswith("Competitor_") else n for n in replaced)
         change = F.lit(0.0)
-        for term in dict.fromkeys(affected.get(name, name) for name in replaced):
-            if term in after:
-                change = change + (after[term] - before[term])
+        for term in terms:
+            if term in WEIGHTS or term == COMPETITOR_TERM:
+                change = change + (self._term(term, moved) - self._term(term, inputs))
         return change
 
     def probability(self) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.operators import ranks
+from stayrate.session import literal_rows
 
 
 def zscore(column: str, mean: float, std: float) -> Column:
@@ -95,18 +99,42 @@ def boxplot(df: DataFrame, columns: list[str], by: str) -> DataFrame:
         F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("Outliers")))
 
 
+def _pair_correlation(a: Column, b: Column) -> Column:
+    """``corr`` that gives NULL, not an error, where either side is constant."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Pearson correlation per column pair over the rows where both are present.
 
-    Each row fans out to its pairs inside the scan's stage and is combined there, so the
-    exchange carries one partial result per pair and task. A constant column gives NULL.
+    Columns without NULLs go through one vector pass, which sums the whole matrix per
+    task; only pairs with a NULL in one of them need their own aggregate. A constant
+    column gives NULL.
     """
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("Column_A"), F.lit(b).alias("Column_B"),
-                 F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs])))
-    return stacked.groupBy("Column_A", "Column_B").agg(
-        F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")).alias("Correlation"))
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    seen = doubles.agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    whole = [c for c in columns if not seen[c]]
+    found: dict[tuple[str, str], float] = {}
+    if whole and seen["_rows"]:
+        vectors = VectorAssembler(inputCols=whole, outputCol="_v").transform(doubles).select("_v")
+        matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
+        place = {c: i for i, c in enumerate(whole)}
+        found = {(a, b): float(matrix[place[a], place[b]]) for a, b in pairs
+                 if a in place and b in place}
+    rest = [pair for pair in pairs if pair not in found]
+    if rest:
+        row = doubles.agg(*[_pair_correlation(F.col(a), F.col(b)).alias(f"c{i}")
+                            for i, (a, b) in enumerate(rest)]).first()
+        found.update({pair: row[f"c{i}"] for i, pair in enumerate(rest)})
+
+    def clean(x: float | None) -> float | None:
+        return None if x is None or math.isnan(x) else x
+
+    return literal_rows(df.sparkSession, "Column_A STRING, Column_B STRING, Correlation DOUBLE",
+                        [(a, b, clean(found[a, b])) for a, b in pairs])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -224,7 +224,8 @@ def churn_by_service(spark, sf_dir):
 
 # --- Exploration ---------------------------------------------------------------------------
 
-on_accounts("state_rate_vs_volume", eda.state_rate_vs_volume)
+on_accounts("state_rate_vs_volume", lambda a: eda.rate_vs_volume(a, "State", 10))
+on_accounts("city_rate_vs_volume", lambda a: eda.rate_vs_volume(a, "City", 15, min_customers=25))
 query("service_churn_wide")(lambda spark, sf_dir: eda.service_churn_wide(
     staging.account_wide(spark, sf_dir), list(derived.FLAG_SERVICES)))
 on_accounts("value_counts", lambda a: eda.value_counts(a, {
@@ -301,8 +302,9 @@ def feature_columns(spark, sf_dir):
 def _ones(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     names = features.encoded_names(categories)
     encoded = features.one_hot(df.select("Customer_ID", *categories), categories)
-    return (encoded.unpivot("Customer_ID", names, "Feature", "Flag")
-            .filter(F.col("Flag") == 1).select("Customer_ID", "Feature"))
+    set_cells = F.array_compact(F.array(*[
+        F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in names]))
+    return encoded.select("Customer_ID", F.explode(set_cells).alias("Feature"))
 
 
 @query("one_hot")

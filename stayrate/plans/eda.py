@@ -13,16 +13,20 @@ from stayrate.functions import rules
 from stayrate.operators import stats
 
 
-def state_rate_vs_volume(customers: DataFrame, top: int = 10) -> DataFrame:
-    """States leading by churn rate and states leading by churned accounts."""
-    states = m.churn_summary(customers, "State").withColumn(
+def rate_vs_volume(customers: DataFrame, place: str, top: int,
+                   min_customers: int = 0) -> DataFrame:
+    """Places leading by churn rate (given enough accounts) and by churned accounts."""
+    places = m.churn_summary(customers, place).withColumn(
         "Active_Customers", F.col("Total_Customers") - F.col("Churned_Customers"))
 
-    def leaders(measure: str, label: str) -> DataFrame:
-        rank = F.row_number().over(Window.orderBy(F.desc(measure), "State"))
-        return (states.withColumns({"Ranking": F.lit(label), "Position": rank})
+    def leaders(df: DataFrame, measure: str, label: str) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(F.desc(measure), place))
+        return (df.withColumns({"Ranking": F.lit(label), "Position": rank})
                 .filter(F.col("Position") <= top))
-    return leaders("Churn_Rate_Pct", "rate").unionByName(leaders("Churned_Customers", "volume"))
+
+    large = places.filter(F.col("Total_Customers") >= min_customers)
+    return leaders(large, "Churn_Rate_Pct", "rate").unionByName(
+        leaders(places, "Churned_Customers", "volume"))
 
 
 def service_churn_wide(wide: DataFrame, flags: list[str]) -> DataFrame:
@@ -42,12 +46,12 @@ def value_counts(df: DataFrame, columns: dict[str, int | None]) -> DataFrame:
         for c in columns])))
     counts = (tall.filter(F.col("Value").isNotNull()).groupBy("Column_Name", "Value")
               .agg(F.count(F.lit(1)).alias("Customers")))
-    order = Window.partitionBy("Column_Name").orderBy(F.desc("Customers"), "Value")
-    limits = {c: n for c, n in columns.items() if n}
-    ranked = counts.withColumn("Position", F.row_number().over(order))
-    for c, n in limits.items():
-        ranked = ranked.filter((F.col("Column_Name") != c) | (F.col("Position") <= n))
-    return ranked
+    limited = {c: n for c, n in columns.items() if n}
+    result = counts.filter(~F.col("Column_Name").isin(list(limited))) if limited else counts
+    for c, n in limited.items():
+        leading = counts.filter(F.col("Column_Name") == c)
+        result = result.unionByName(leading.orderBy(F.desc("Customers"), "Value").limit(n))
+    return result
 
 
 def class_balance(df: DataFrame, label: str = schemas.TARGET) -> DataFrame:

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "stayrate", **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Recording a Python call site per expression costs more than planning the query.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -42,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str | None:
     temporary folder; a cluster session gets nothing, because a machine-local folder
     would not be visible to the other executors.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")

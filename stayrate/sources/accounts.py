@@ -44,31 +44,41 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(part, F.col("l_partkey") == F.col("p_partkey")))
 
 
-def derive_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer that has orders with line items."""
-    orders = table(spark, sf_dir, "orders")
-    per_order = orders.groupBy(F.col("o_custkey").alias("k")).agg(
-        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("acv"),
-        F.min(F.col("o_orderdate").cast("date")).alias("first_dt"),
-        F.max(F.col("o_orderdate").cast("date")).alias("last_dt"))
-    as_of = orders.agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
+def derive_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items summed per (customer, service): the one pass over the largest join.
 
+    Subscriptions are its keys and account measures are sums over its rows. Map-side
+    combining bounds what any (customer, service) pair sends, however many lines it has.
+    """
     returned = F.col("l_returnflag") == "R"
     failed = returned & (F.col("l_linestatus") == "F")
     days = F.datediff(F.col("l_shipdate").cast("date"), F.col("od"))
-    per_line = _lines(spark, sf_dir).groupBy("k").agg(
+    return _lines(spark, sf_dir).groupBy(
+        F.col("k").alias("Customer_ID"), F.col("p_brand").alias("Service_Name")).agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.countDistinct("p_brand").alias("nsvc"),
-        F.min("p_brand").alias("main_svc"),
         F.count_if(returned).alias("complaints"),
         F.count_if(F.col("l_returnflag").isin("R", "A")).alias("tickets"),
-        F.sum(F.when(failed, F.col("l_quantity")).otherwise(0.0)).cast("bigint").alias("dq"),
+        F.sum(F.when(failed, F.col("l_quantity")).otherwise(0.0)).alias("dq"),
         F.count_if(failed).alias("outages"),
         F.count_if(days > 1200).alias("late"),
-        F.sum(F.abs(days)).cast("bigint").alias("lag_days"),
+        F.sum(F.abs(days)).alias("lag_days"),
         F.count_if(F.col("l_discount") == 0).alias("bill"),
         F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("disc_pct"))
 
+
+def derive_accounts(spark: SparkSession, sf_dir: str, usage: DataFrame) -> DataFrame:
+    """One row per customer that has orders with line items."""
+    orders = table(spark, sf_dir, "orders")
+    per_order = orders.groupBy(F.col("o_custkey").alias("k")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("acv"),
+        F.min(F.col("o_orderdate").cast("date")).alias("first_dt"),
+        F.max(F.col("o_orderdate").cast("date")).alias("last_dt"))
+    as_of = orders.agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
+    sums = ["n_lines", "complaints", "tickets", "outages", "late", "lag_days", "bill", "disc_pct"]
+    per_line = usage.groupBy(F.col("Customer_ID").alias("k")).agg(
+        F.count("Service_Name").alias("nsvc"), F.min("Service_Name").alias("main_svc"),
+        F.sum("dq").cast("bigint").alias("dq"), *[F.sum(c).alias(c) for c in sums])
+
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     bal = F.col("c_acctbal")
@@ -138,10 +148,9 @@ def derive_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(churned, _pick(key % 15, _REASONS)).alias("Churn_Reason"))
 
 
-def derive_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscriptions(usage: DataFrame) -> DataFrame:
     """One row per (customer, service) subscription."""
-    return _lines(spark, sf_dir).select(
-        F.col("k").alias("Customer_ID"), F.col("p_brand").alias("Service_Name")).distinct()
+    return usage.select("Customer_ID", "Service_Name").filter(F.col("Service_Name").isNotNull())
 
 
 def derive_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

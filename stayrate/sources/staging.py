@@ -1,8 +1,8 @@
 """Account tables written once per application, bucketed by customer.
 
 Reports read a handful of columns from the customer tables, so deriving those tables
-from the raw line items in each report would repeat the largest join. The tables are
-written to the shared folder instead: Parquet, so scans keep column pruning and pushed
+from the raw line items in each report would repeat the largest join. The line items are
+summed once per (customer, service), and the tables are written to the shared folder: Parquet, so scans keep column pruning and pushed
 filters; bucketed on ``Customer_ID``, so customer-to-subscription and
 customer-to-prediction joins need no exchange; and durable, so a lost executor costs a
 re-read rather than a recomputation. Without a shared folder the tables stay lazy views.
@@ -11,6 +11,7 @@ re-read rather than a recomputation. Without a shared folder the tables stay laz
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +21,44 @@ from stayrate.sources import accounts
 
 SWITCH = "spark.stayrate.stageTables"
 BUCKETS = "spark.stayrate.buckets"
+# Line-item bytes that feed one bucket; an account row is far smaller than its lines.
+BYTES_PER_BUCKET = 4 * 1024**3
+MOST_BUCKETS = 100_000
 
 _written: dict[tuple[str, str, str], str] = {}
+_lock = threading.RLock()
+
+
+def bucket_count(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of every staged table of ``sf_dir``: the shuffle width, more for large input."""
+    configured = spark.conf.get(BUCKETS, None)
+    if configured:
+        return int(configured)
+    scan = accounts.table(spark, sf_dir, "lineitem")
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(width, -(-size // BYTES_PER_BUCKET)))
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
             bucket_by: str | None = "Customer_ID") -> DataFrame:
-    """``build()``, written on first use and read back from then on."""
+    """``build()``, written on first use by this application and read back from then on."""
     if spark.conf.get(SWITCH, "true") != "true" or shared_dir(spark) is None:
         return build()
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        tag = hashlib.sha1(f"{key[0]}{sf_dir}".encode()).hexdigest()[:10]
-        stored = f"stayrate_{tag}_{name}"
-        frame = build()
-        if bucket_by:
-            buckets = int(spark.conf.get(BUCKETS, spark.conf.get("spark.sql.shuffle.partitions")))
-            writer = (frame.repartition(buckets, bucket_by).write
-                      .bucketBy(buckets, bucket_by).sortBy(bucket_by))
-        else:
+    with _lock:
+        if key not in _written:
+            tag = hashlib.sha1(f"{key[0]}{sf_dir}".encode()).hexdigest()[:10]
+            stored = f"stayrate_{tag}_{name}"
+            frame = build()
             writer = frame.write
-        (writer.mode("overwrite").format("parquet")
-               .option("path", new_folder(spark, name)).saveAsTable(stored))
-        _written[key] = stored
+            if bucket_by:
+                buckets = bucket_count(spark, sf_dir)
+                writer = (frame.repartition(buckets, bucket_by).write
+                          .bucketBy(buckets, bucket_by).sortBy(bucket_by))
+            (writer.mode("overwrite").format("parquet")
+                   .option("path", new_folder(spark, name)).saveAsTable(stored))
+            _written[key] = stored
     return spark.table(_written[key])
 
 
@@ -58,12 +74,17 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "usage", lambda: accounts.derive_usage(spark, sf_dir))
+
+
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark, sf_dir, "account", lambda: accounts.derive_accounts(spark, sf_dir))
+    return written(spark, sf_dir, "account", lambda: accounts.derive_accounts(
+        spark, sf_dir, usage(spark, sf_dir)))
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(spark, sf_dir, "bridge", lambda: accounts.derive_bridge(spark, sf_dir))
+    return accounts.subscriptions(usage(spark, sf_dir))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_no_python_and_no_cartesian(spark, sf_dir, name):
 
 def test_unstaged_tables_are_the_same(spark, sf_dir):
     stored = staging.account(spark, sf_dir)
-    lazy = derived.derive_accounts(spark, sf_dir)
+    lazy = derived.derive_accounts(spark, sf_dir, derived.derive_usage(spark, sf_dir))
     assert stored.exceptAll(lazy).count() == 0 and lazy.exceptAll(stored).count() == 0
 
 

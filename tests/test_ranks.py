@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stayrate.operators import ranks
+from stayrate.operators import ranks, stats
 
 
 def skewed(n=3000, seed=7):
@@ -65,6 +65,27 @@ def test_numbering_spreads_a_hot_key(spark):
     assert got == dict(zip(pdf["id"], want))
 
 
+def test_correlations_with_nulls_and_constants(spark):
+    rnd = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rnd.normal(size=200), "b": rnd.normal(size=200)})
+    pdf["c"] = pdf["a"] + 0.3 * pdf["b"]
+    pdf["holes"] = pdf["c"].where(rnd.random(200) > 0.2)
+    pdf["flat"] = 2.0
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, holes double, flat double")
+    got = {(r["Column_A"], r["Column_B"]): r["Correlation"]
+           for r in stats.correlation_matrix(df, list(pdf.columns)).collect()}
+    want = pdf.corr()
+    assert len(got) == 25
+    for (a, b), r in got.items():
+        if a == "flat" or b == "flat":
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+    empty = stats.correlations(df.filter("false"), [("a", "b")]).first()
+    assert empty["Correlation"] is None
+
+
 def test_no_single_partition_and_no_python(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
     plan = ranks.attach_rank_pct(df, "x", "p")._jdf.queryExecution().executedPlan().toString()

@@ -115,8 +115,9 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     seen = doubles.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    whole = [c for c in columns if not seen[c]]
+        F.count_if(F.col(c).isNull()).alias(c) for c in columns], *[
+        (F.min(c) == F.max(c)).alias(f"flat_{c}") for c in columns]).first()
+    whole = [c for c in columns if not seen[c] and not seen[f"flat_{c}"]]
     found: dict[tuple[str, str], float] = {}
     if whole and seen["_rows"]:
         vectors = VectorAssembler(inputCols=whole, outputCol="_v").transform(doubles).select("_v")

@@ -22,7 +22,8 @@ from stayrate.session import build_session  # noqa: E402
 from stayrate.sources import staging  # noqa: E402
 
 TRAINING = {"model_lr", "model_dt", "model_gbt", "model_rf_select", "model_comparison",
-            "sink_metrics", "feature_importance", "score_model", "model_roundtrip", "whatif_model"}
+            "sink_metrics", "feature_importance", "score_model", "model_roundtrip", "whatif_model",
+            "score_profiles_model"}
 
 
 def main() -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayrate import schemas
 from stayrate.functions import rules
+from stayrate.operators.models import ChurnModel
 from stayrate.operators.scorecard import Scorecard
 
 # The inputs a profile states.
@@ -78,7 +79,9 @@ def assess(scored: DataFrame) -> DataFrame:
         "Recommended_Action": rules.profile_action(F.col("Risk_Category"))})
 
 
-def score_profiles(profiles: DataFrame, card: Scorecard) -> DataFrame:
+def score_profiles(profiles: DataFrame, scorer: Scorecard | ChurnModel) -> DataFrame:
     """Assessment of each profile; the tier is taken from the unrounded probability."""
     done = complete(profiles)
-    return assess(done.withColumn("Churn_Probability", card.probability()))
+    if isinstance(scorer, Scorecard):
+        return assess(done.withColumn("Churn_Probability", scorer.probability()))
+    return assess(scorer.score(done, digits=None))

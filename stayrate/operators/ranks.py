@@ -16,6 +16,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -144,6 +145,8 @@ def ordinal_within(df: DataFrame, key: str, order: str, alias: str,
     Rows are numbered inside (key, order range) and shifted by the counts of the lower
     ranges, so a key that holds a large share of the rows is spread over many tasks.
     """
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        raise ValueError(f"{order} must be numeric, such as an ingest number")
     work = df.withColumn("_order", F.col(order).cast("double"))
     work = _bucketize(work, ["_order"], buckets)
     counts = work.groupBy(key, "_b__order").agg(F.count(F.lit(1)).alias("_n"))

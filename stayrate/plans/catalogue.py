@@ -558,6 +558,11 @@ def model_roundtrip(spark, sf_dir):
     return loaded.score(full_account(spark, sf_dir)).select("Customer_ID", "Churn_Probability")
 
 
+query("score_profiles_model")(lambda spark, sf_dir: profiles.score_profiles(
+    _profile_inputs(spark, sf_dir), _selected(spark, sf_dir)).select(
+    "Profile_ID", "Churn_Probability", "Risk_Category", "Main_Risk_Factors", "Recommended_Action"))
+
+
 @query("whatif_model")
 def whatif_model(spark, sf_dir):
     """Two scenarios re-scored by the selected classifier."""

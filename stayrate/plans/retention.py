@@ -9,7 +9,14 @@ from stayrate.functions import rules
 from stayrate.operators import features, quality, scoring
 from stayrate.operators.models import ChurnModel
 from stayrate.operators.scorecard import Scorecard
-from stayrate.sources import staging
+from stayrate.sources import files, staging
+
+
+def validated_customers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(clean customers, report) of a customer CSV: checks, labels, first row per key."""
+    raw = files.scan_csv(spark, path, ingest_order="_order")
+    clean = quality.keep_first(quality.fill_structural_nulls(raw), order="_order").drop("_order")
+    return clean, quality.validation_report(raw.drop("_order"))
 
 
 def complete_accounts(accounts: DataFrame) -> DataFrame:

@@ -30,14 +30,16 @@ _lock = threading.RLock()
 
 
 def bucket_count(spark: SparkSession, sf_dir: str) -> int:
-    """Buckets of every staged table of ``sf_dir``: the shuffle width, more for large input."""
+    """Buckets of every staged table of ``sf_dir``: one per core up to the shuffle width,
+    and more where the input is large."""
     configured = spark.conf.get(BUCKETS, None)
     if configured:
         return int(configured)
     scan = accounts.table(spark, sf_dir, "lineitem")
     size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MOST_BUCKETS, max(width, -(-size // BYTES_PER_BUCKET)))
+    base = min(width, spark.sparkContext.defaultParallelism)
+    return min(MOST_BUCKETS, max(base, -(-size // BYTES_PER_BUCKET)))
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],

@@ -8,7 +8,8 @@ from tests.compare import difference, duck
 QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
 # Results of trained models are not SQL-expressible; test_models checks them.
 TRAINED = {"model_lr", "model_dt", "model_gbt", "model_rf_select", "model_comparison",
-           "sink_metrics", "feature_importance", "score_model", "model_roundtrip", "whatif_model"}
+           "sink_metrics", "feature_importance", "score_model", "model_roundtrip", "whatif_model",
+           "score_profiles_model"}
 
 
 @pytest.fixture(scope="module")

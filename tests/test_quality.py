@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayrate import schemas
 from stayrate.operators import features, quality
+from stayrate.plans import retention
 from stayrate.sources import files
 from tests.frames import accounts, column
 
@@ -84,6 +85,31 @@ def test_csv_scan(spark, tmp_path):
     assert files.services_bridge(files.scan_csv(spark, str(plain))).count() == 2 * 20
 
 
+def test_validation_keeps_the_first_row_of_the_file(spark, tmp_path):
+    names = [p.split()[0] for p in schemas.CUSTOMERS.replace("DECIMAL(14,2)", "DECIMAL").split(",")]
+    rows = [_csv_row(Customer_ID=f"A{i % 400:03d}", State=f"row{i:04d}") for i in range(1200)]
+    path = tmp_path / "dup.csv"
+    path.write_text("\n".join([",".join(names), *[",".join(r[n] for n in names) for r in rows]]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(20_000))
+    try:
+        clean, report = retention.validated_customers(spark, str(path))
+        got = {r["Customer_ID"]: r["State"] for r in clean.select("Customer_ID", "State").collect()}
+        found = {(r["Check_Name"], r["Item"]): r["Value"] for r in report.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {f"A{i:03d}": f"row{i:04d}" for i in range(400)}
+    assert found["duplicate", "key"] == 800 and found["duplicate", "row"] == 0
+    assert found["null_expected", "Churn_Date"] == 1200
+    assert len(clean.columns) == 69
+
+
+def test_contract_gives_the_documented_model_inputs(spark):
+    empty = spark.createDataFrame([], schemas.CUSTOMERS)
+    assert len(features.numeric_columns(empty)) == 56
+    assert features.model_columns(empty).columns[-1] == "Services_per_Size_Tier"
+
+
 def test_optional_table(spark, tmp_path):
     assert files.optional_table(spark, str(tmp_path / "nothing")) is None
     spark.range(3).write.parquet(str(tmp_path / "some"))

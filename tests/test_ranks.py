@@ -63,6 +63,8 @@ def test_numbering_spreads_a_hot_key(spark):
     pdf = pd.DataFrame(rows, columns=["id", "k"]).fillna({"k": "<null>"})
     want = pdf.sort_values("id").groupby("k").cumcount() + 1
     assert got == dict(zip(pdf["id"], want))
+    with pytest.raises(ValueError):
+        ranks.ordinal_within(df, "id", "k", "n")
 
 
 def test_correlations_with_nulls_and_constants(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayrate import schemas
 from stayrate.operators import ranks
+from stayrate.sources import staging
 
 
 def _tall(df: DataFrame, entries: list[tuple]) -> DataFrame:
@@ -33,13 +34,29 @@ def null_profile(df: DataFrame) -> DataFrame:
     return rows.filter(F.col("Null_Count") > 0)
 
 
+def _surplus(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One value: rows beyond the first of each combination of ``columns``."""
+    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("Duplicates"))
+
+
+def _repeated_rows(df: DataFrame) -> DataFrame:
+    """The rows whose content hash occurs more than once: all duplicates, and hardly others.
+
+    Only hashes cross the exchange. The repeated ones are written, so that the join back
+    broadcasts them where their measured size allows and shuffles otherwise.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*df.columns))
+    counts = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = staging.materialized(counts.filter(F.col("_n") > 1).select("_h"), "repeated-rows")
+    return hashed.join(repeated, "_h", "left_semi").drop("_h")
+
+
 def duplicate_profile(df: DataFrame, key: str = "Customer_ID") -> DataFrame:
     """Rows beyond the first per key, and rows beyond the first per full row."""
-    def surplus(columns: list[str], label: str) -> DataFrame:
-        return (df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-                .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("Duplicates"))
-                .select(F.lit(label).alias("Scope"), "Duplicates"))
-    return surplus([key], "key").unionByName(surplus(df.columns, "row"))
+    by_key = _surplus(df, [key]).select(F.lit("key").alias("Scope"), "Duplicates")
+    by_row = _surplus(_repeated_rows(df), df.columns).select(F.lit("row").alias("Scope"), "Duplicates")
+    return by_key.unionByName(by_row)
 
 
 def range_violations(df: DataFrame) -> DataFrame:
@@ -58,15 +75,22 @@ def fill_structural_nulls(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, key: str = "Customer_ID", order: str | None = None) -> DataFrame:
     """The first row per key by ``order`` (an ingest-order column).
 
-    A minimum over structs rather than a window: map-side combining leaves one
-    candidate per key and task, however often a key repeats. Without an order column
-    the smallest row by column values is kept, so the choice is repeatable.
+    Keys are counted first. Rows of unique keys pass through without an exchange where the
+    repeated keys are few enough to broadcast, which their written size decides. Repeated
+    keys are settled by a minimum over structs: map-side combining leaves one candidate
+    per key and task, however often a key repeats. Without an order column the smallest
+    row by column values is kept, so the choice is repeatable.
     """
-    order_by = [order] if order else [c for c in df.columns if c != key]
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = staging.materialized(counts.filter(F.col("_n") > 1).select("_key"), "repeated-keys")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    unique = df.join(repeated, same, "left_anti")
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_row")
-    picked = df.groupBy(key).agg(first)
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    order_by = [order] if order else rest
+    picked = df.join(repeated, same, "left_semi").groupBy(key).agg(
+        F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_row"))
+    first = picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    return unique.unionByName(first)
 
 
 def iqr_fences(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float] | None:

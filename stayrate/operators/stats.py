@@ -43,13 +43,12 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     quartiles = ranks.running_counts(df, columns).groupBy("metric").agg(
         ranks.quantile(0.25).alias("Q25"), ranks.quantile(0.5).alias("Q50"),
         ranks.quantile(0.75).alias("Q75"))
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+    parts = {"Count": F.count, "Mean": F.avg, "Std": F.stddev_samp, "Min": F.min, "Max": F.max}
+    row = df.agg(*[fn(F.col(c).cast("double")).alias(f"{part}_{c}")
+                   for c in columns for part, fn in parts.items()])
+    simple = row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("metric"), *[F.col(f"{p}_{c}").alias(p) for p in parts])
         for c in columns])))
-    simple = stacked.groupBy("metric").agg(
-        F.count("value").alias("Count"), F.avg("value").alias("Mean"),
-        F.stddev_samp("value").alias("Std"), F.min("value").alias("Min"),
-        F.max("value").alias("Max"))
     return simple.join(quartiles, "metric", "left").withColumnRenamed("metric", "Column_Name")
 
 

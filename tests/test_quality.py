@@ -124,3 +124,16 @@ def test_split_is_exact_and_stable(spark):
     assert counts == {(0, True): 172, (0, False): 686, (1, True): 28, (1, False): 114}
     again = features.stratified_split(df.repartition(5))
     assert once.exceptAll(again).count() == 0
+
+
+def test_null_keys_are_one_key(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (5, 3), (5, 4), (6, 5)], "Customer_ID int, x int")
+    got = {(r["Customer_ID"], r["x"]) for r in quality.keep_first(df, order="x").collect()}
+    assert got == {(None, 1), (5, 3), (6, 5)}
+
+
+def test_unique_rows_are_not_shuffled_for_deduplication(spark):
+    df = spark.range(500).select(F.col("id").alias("Customer_ID"), F.lit("v").alias("x"))
+    plan = quality.keep_first(df, order="x")._jdf.queryExecution().executedPlan().toString()
+    unique_part = plan.split("SortAggregate")[0]
+    assert "LeftAnti" in unique_part and "Exchange hashpartitioning" not in unique_part

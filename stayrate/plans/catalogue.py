@@ -482,60 +482,37 @@ query("roc_curve")(lambda spark, sf_dir: evaluation.roc_curve(held_out(spark, sf
 query("baseline_accuracy")(lambda spark, sf_dir: evaluation.baseline_accuracy(held_out(spark, sf_dir)))
 query("tier_calibration")(lambda spark, sf_dir: evaluation.tier_calibration(held_out(spark, sf_dir)))
 
-_trained: dict[tuple[str, str, str], object] = {}
+_trained: dict[tuple[str, str], models.Training] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """A trained artifact of this application, fitted on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _training(spark: SparkSession, sf_dir: str) -> models.Training:
+    """The training run of this application: all four models, fitted on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trained:
-        _trained[key] = build()
+        _trained[key] = models.train_and_select(full_account(spark, sf_dir))
     return _trained[key]
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    marked = features.stratified_split(full_account(spark, sf_dir))
-    return (marked.filter(~F.col("Is_Test")).drop("Is_Test"),
-            marked.filter("Is_Test").drop("Is_Test"))
-
-
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[models.ChurnModel, DataFrame]:
-    return _once(spark, sf_dir, "forest",
-                 lambda: models.select_forest(_parts(spark, sf_dir)[0]))
+def _held_out_metrics(name: str) -> Query:
+    return lambda spark, sf_dir: _training(spark, sf_dir).comparison.filter(
+        F.col("Model") == name).drop("Selected")
 
 
-def _model(spark: SparkSession, sf_dir: str, name: str) -> models.ChurnModel:
-    if name == models.FOREST:
-        return _forest(spark, sf_dir)[0]
-    return _once(spark, sf_dir, name, lambda: models.fit(name, _parts(spark, sf_dir)[0]))
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _training(spark, sf_dir).comparison
 
 
-def _held_out_metrics(name: str) -> Query:
-    return lambda spark, sf_dir: models.compare(
-        [_model(spark, sf_dir, name)], _parts(spark, sf_dir)[1]).drop("Selected")
+def _selected(spark: SparkSession, sf_dir: str) -> models.ChurnModel:
+    return _training(spark, sf_dir).selected
 
 
 query("model_lr")(_held_out_metrics(models.LOGISTIC))
 query("model_dt")(_held_out_metrics(models.TREE))
 query("model_gbt")(_held_out_metrics(models.BOOSTED))
-query("model_rf_select")(lambda spark, sf_dir: _forest(spark, sf_dir)[1])
-
-
-def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build() -> DataFrame:
-        names = (models.LOGISTIC, models.TREE, models.FOREST, models.BOOSTED)
-        return models.compare([_model(spark, sf_dir, n) for n in names], _parts(spark, sf_dir)[1])
-    return _once(spark, sf_dir, "comparison", build)
-
-
+query("model_rf_select")(lambda spark, sf_dir: _training(spark, sf_dir).forests)
 query("model_comparison")(_comparison)
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> models.ChurnModel:
-    best = _comparison(spark, sf_dir).filter("Selected").first()["Model"]
-    return _model(spark, sf_dir, best)
-
-
 @query("sink_metrics")
 def sink_metrics(spark, sf_dir):
     """The comparison written as JSON and read back."""

@@ -10,6 +10,7 @@ patterns; the weights start from the grammar's own and are adjusted to the label
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -23,8 +24,10 @@ from stayrate.llm.common import map_arrow, pick, slices, stored, utf8, with_fiel
 
 # Labelled texts that a fit reads at most; more are sampled by a hash of their id.
 MAX_FIT_ROWS = 200_000
-# A learned stem: characters, texts that must hold it, and its least share of toxic ones.
-STEM_SIZES, STEM_TEXTS, STEM_SHARE = (3, 4, 5, 6, 7), 5, 0.85
+# A learned stem: characters, toxic texts that must hold it, and their least share of the
+# texts with it, for stems that alone insult and for mild ones, which clean texts use too.
+# A mild stem's share must also be too high for chance, by the log likelihood ratio.
+STEM_SIZES, STEM_TEXTS, STRONG_SHARE, MILD_SHARE, MILD_RATIO = (3, 4, 5, 6, 7), 5, 0.85, 0.3, 12.0
 MOST_CANDIDATES, MOST_STEMS = 50_000, 4000
 # Scope of a negation and reach of a target, in words.
 SCOPE, REACH = 3, 6
@@ -37,13 +40,17 @@ TARGETS = """you your yours yourself he him his she her they them their these th
 NEGATIONS = """not no never nobody hardly isn't aren't wasn't don't won't""".split()
 REPORTS = """said says say saying told claims claimed wrote quoted quote called""".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-# Symbols after rewriting: 6.. are insult and threat negated or reported.
-SPARED_INSULT, SPARED_THREAT = 6, 7
-PATTERNS = ("insult", "insult_target", "threat", "threat_target", "spared_insult", "spared_threat")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MILD = range(7)
+SYMBOLS = range(7)
+# Symbols after rewriting: insult and threat negated or reported.
+SPARED_INSULT, SPARED_THREAT = 7, 8
+# The last one is how dense mild insults stand: doublings over one in 200 words.
+PATTERNS = ("insult", "insult_target", "threat", "threat_target", "spared_insult", "spared_threat",
+            "mild", "mild_density")
+MOST = (3, 3, 3, 3, 3, 3, 8, 3)
 # Weights that the grammar gives a pattern before labels are seen, and the constant.
-PRIOR = np.array([2.0, 3.5, 0.3, 3.5, -0.5, -0.5])
-PRIOR_CONSTANT, PRIOR_STRENGTH, MOST = -4.0, 0.5, 3
+PRIOR = np.array([2.0, 3.5, 0.3, 3.5, -0.5, -0.5, 0.3, 0.3])
+PRIOR_CONSTANT, PRIOR_STRENGTH = -4.0, 0.5
 
 _CLAUSE = regex.compile(r"[.!?;:\n]+")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
@@ -86,13 +93,14 @@ def negation() -> Transducer:
         if left:
             arcs[left, INSULT] = (left - 1, SPARED_INSULT)
             arcs[left, THREAT] = (left - 1, SPARED_THREAT)
+            arcs[left, MILD] = (left - 1, OTHER)
     return Transducer(arcs, 0, {n: max(0, n - 1) for n in range(SCOPE + 1)})
 
 
 def reported_speech() -> Transducer:
     """After a verb of saying, what follows in the clause is someone else's."""
     return Transducer({(0, REPORT): (1, REPORT), (1, INSULT): (1, SPARED_INSULT),
-                       (1, THREAT): (1, SPARED_THREAT)})
+                       (1, THREAT): (1, SPARED_THREAT), (1, MILD): (1, OTHER)})
 
 
 def targeting() -> Transducer:
@@ -109,6 +117,7 @@ def targeting() -> Transducer:
         rest[state] = (*state[:-1], n - 1) if n > 1 else ("none",)
         arcs[state, SPARED_INSULT] = (rest[state], 14)
         arcs[state, SPARED_THREAT] = (rest[state], 15)
+        arcs[state, MILD] = (rest[state], 16)
         near = state[0] == "target"
         arcs[state, INSULT] = (state if near else ("open", INSULT, REACH), 11 if near else 10)
         arcs[state, THREAT] = (state if near else ("open", THREAT, REACH), 13 if near else 12)
@@ -119,12 +128,12 @@ def targeting() -> Transducer:
 
 def grammar() -> tuple[list[list[int]], list[list[int]]]:
     """The composed machine as two tables [state][symbol]: next state, written symbol."""
-    machine = compose(compose(negation(), reported_speech(), range(6)), targeting(), range(6))
+    machine = compose(compose(negation(), reported_speech(), SYMBOLS), targeting(), SYMBOLS)
     states = {machine.start: 0}
     for state, _ in machine.arcs:
         states.setdefault(state, len(states))
-    go = [[0] * 6 for _ in states]
-    out = [[0] * 6 for _ in states]
+    go = [[0] * len(SYMBOLS) for _ in states]
+    out = [[0] * len(SYMBOLS) for _ in states]
     for (state, symbol), (to, written) in machine.arcs.items():
         go[states[state]][symbol], out[states[state]][symbol] = states[to], written
     return go, out
@@ -133,10 +142,10 @@ def grammar() -> tuple[list[list[int]], list[list[int]]]:
 class Lexicon:
     """Word -> symbol: fixed words first, then the learned stems as prefixes."""
 
-    def __init__(self, stems: list[str]):
+    def __init__(self, stems: dict[str, int]):
         self.fixed = {w: s for s, ws in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS),
                                          (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        self.stems = frozenset(stems)
+        self.stems = stems
         self.heads = frozenset(s[:min(STEM_SIZES)] for s in stems)
         self.toxic = frozenset(w for w, s in self.fixed.items() if s in (INSULT, THREAT))
 
@@ -144,9 +153,9 @@ class Lexicon:
         found = self.fixed.get(word)
         if found is None:
             found = OTHER
-            if word[:min(STEM_SIZES)] in self.heads and any(
-                    word[:n] in self.stems for n in STEM_SIZES):
-                found = INSULT
+            if word[:min(STEM_SIZES)] in self.heads:
+                kinds = {self.stems.get(word[:n], OTHER) for n in STEM_SIZES}
+                found = INSULT if INSULT in kinds else MILD if MILD in kinds else OTHER
         return found
 
     def may_match(self, words: list[str]) -> bool:
@@ -155,10 +164,11 @@ class Lexicon:
 
 
 def patterns(text: str, lexicon: Lexicon, go, out) -> list[int]:
-    """Matched clause patterns of a whole text, each counted up to MOST."""
+    """Matched clause patterns of a whole text, each counted up to its MOST."""
     counts = [0] * len(PATTERNS)
     lowered = text.lower()
-    if lexicon.may_match(_WORD.findall(lowered)):
+    words = _WORD.findall(lowered)
+    if lexicon.may_match(words):
         for clause in _CLAUSE.split(lowered):
             state = 0
             for word in _WORD.findall(clause):
@@ -169,7 +179,8 @@ def patterns(text: str, lexicon: Lexicon, go, out) -> list[int]:
                     counts[written - 10] += 1
                     if written in (11, 13) and symbol == TARGET:
                         counts[written - 11] -= 1  # the bare pattern written before
-    return [min(max(c, 0), MOST) for c in counts]
+    counts[-1] = int(math.log2(1 + 200 * counts[6] / max(len(words), 1)))
+    return [min(max(c, 0), m) for c, m in zip(counts, MOST)]
 
 
 def _stems(text: bytes) -> set[str]:
@@ -194,8 +205,9 @@ def stem_counts(texts: DataFrame, only: frozenset | None = None) -> DataFrame:
             .groupBy("stem").agg(F.sum("n").alias("n")))
 
 
-def learn_stems(texts: DataFrame) -> list[str]:
-    """Word beginnings that stand in toxic texts almost alone, from ``texts`` (text, y).
+def learn_stems(texts: DataFrame, toxic_texts: int, other_texts: int) -> dict[str, int]:
+    """Word beginnings that mark toxic texts, as strong (INSULT) or MILD, from ``texts``
+    (text, y).
 
     Of the stems that enough toxic texts hold, at most MOST_CANDIDATES are looked up in the
     other texts, and at most MOST_STEMS are kept, the most frequent first: the size of the
@@ -205,15 +217,38 @@ def learn_stems(texts: DataFrame) -> list[str]:
     toxic = {r.stem: r.n for r in stem_counts(texts.where("y = 1")).where(F.col("n") >= STEM_TEXTS)
              .orderBy(F.desc("n"), "stem").limit(MOST_CANDIDATES).collect() if r.stem not in fixed}
     if not toxic:
-        return []
+        return {}
     other = {r.stem: r.n for r in
              stem_counts(texts.where("y = 0"), frozenset(toxic)).collect()}  # MOST_CANDIDATES at most
-    return [s for s, n in toxic.items() if n >= STEM_SHARE * (n + other.get(s, 0) + 1)][:MOST_STEMS]
+    kept = {s: INSULT for s, n in toxic.items() if n >= STRONG_SHARE * (n + other.get(s, 0) + 1)}
+    # Texts that a longer strong stem explains do not speak for its beginnings.
+    explained: dict[str, int] = {}
+    for stem in kept:
+        for size in STEM_SIZES:
+            head = stem[:size]
+            explained[head] = max(explained.get(head, 0), toxic[stem])
+    for stem, n in toxic.items():
+        m, n = other.get(stem, 0), n - explained.get(stem, 0)
+        if (stem not in kept and n >= max(STEM_TEXTS, MILD_SHARE * (n + m + 1))
+                and surprise(n, toxic_texts, m, other_texts) >= MILD_RATIO):
+            kept[stem] = MILD
+    return dict(sorted(kept.items(), key=lambda x: -toxic[x[0]])[:MOST_STEMS])
+
+
+def surprise(n: int, of: int, m: int, rest: int) -> float:
+    """Log likelihood ratio of ``n`` in ``of`` texts and ``m`` in the ``rest`` against one
+    common rate; zero where the first rate is not the higher one."""
+    if n * rest <= m * of:
+        return 0.0
+    common = (n + m) / (of + rest)
+    return sum(k * math.log(k / (t * q)) for k, t, q in (
+        (n, of, common), (m, rest, common), (of - n, of, 1 - common), (rest - m, rest, 1 - common))
+        if k > 0)
 
 
 @dataclass
 class Model:
-    stems: list[str]
+    stems: dict[str, int]
     weights: np.ndarray
     constant: float
 
@@ -238,7 +273,7 @@ def fit_weights(counts: np.ndarray, toxic: np.ndarray, total: np.ndarray) -> tup
     return w[:-1], float(w[-1])
 
 
-def _counted(rows: DataFrame, stems: list[str]) -> DataFrame:
+def _counted(rows: DataFrame, stems: dict[str, int]) -> DataFrame:
     """``rows`` (doc_id, text, ...) without the text, with ``counts`` of clause patterns."""
     others = [c for c in rows.columns if c != "text"]
     schema = with_fields(rows.select(*others), "counts array<int>")
@@ -257,7 +292,8 @@ def _counted(rows: DataFrame, stems: list[str]) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     """Stems and weights from ``labels`` (doc_id, y). Null labels and ids are left out,
-    labels of one id averaged; texts that repeat count once among the stems' texts. Without
+    labels of one id averaged; of texts with the same longest sentence, copies
+    and near copies, one counts towards the stems. Without
     labels the grammar's own weights stand."""
     known = (labels.where("doc_id is not null and y is not null").groupBy("doc_id")
              .agg((F.avg("y") >= 0.5).cast("int").alias("y")))
@@ -269,10 +305,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROW
     # the texts need no shuffle.
     rows = stored(pick(documents, "doc_id", "text").join(F.broadcast(known), "doc_id")
                   .select("doc_id", "text", "y"), "labelled")
-    once = (rows.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.min("doc_id").alias("doc_id"))
-            .select("doc_id", "y").distinct())
-    stems = learn_stems(rows.join(F.broadcast(once), ["doc_id", "y"]).select("text", "y"))
-    # At most (MOST + 1) ** len(PATTERNS) distinct counts reach the driver.
+    longest = F.array_max(F.transform(F.split("text", r"[.\n]"),
+                                      lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    once = stored(rows.groupBy(F.xxhash64(longest["x"]).alias("h"), "y")
+                  .agg(F.min("doc_id").alias("doc_id")).select("doc_id", "y").distinct(), "once")
+    sizes = {r.y: r["count"] for r in once.groupBy("y").count().collect()}
+    stems = learn_stems(rows.join(F.broadcast(once), ["doc_id", "y"]).select("text", "y"),
+                        sizes.get(1, 0), sizes.get(0, 0))
+    # The distinct counts that reach the driver are bounded by the product of MOST + 1.
     groups = (_counted(rows, stems).groupBy("counts")
               .agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).collect())
     if not groups:

@@ -105,8 +105,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def isotonic(bins: np.ndarray, total: np.ndarray, count: np.ndarray):
     """Knots and values of the non-decreasing fit to sums per bin, by pooling neighbours
-    that violate the order. One virtual row of each label at the ends keeps scores off 0
-    and 1."""
+    that violate the order. A virtual row of each label holds the ends at 0 and 1."""
     order = np.argsort(bins)
     pools: list[list[float]] = []
     for x, s, n in zip([0.0, *bins[order], 1.0], [0.0, *total[order], 1.0],

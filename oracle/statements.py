@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.views import LOGIT, TERM_NAMES, term_columns, using
+from oracle.views import LOGIT, SERVICE_NUMBERS, TERM_NAMES, term_columns, using
 
 STATEMENTS: dict[str, str] = {}
 
@@ -105,7 +105,7 @@ check("churn_by_service", "account bridge catalog_", f"""
 SELECT Service_Category, b.Service_Name, count(*) AS Subscribers,
   {CHURNED} AS Churned_Subscribers, {RATE} AS Churn_Rate_Pct, {LOST} AS Revenue_at_Risk
 FROM bridge b JOIN account a ON a.Customer_ID = b.Customer_ID
-JOIN catalog_ c ON c.Service_Name = b.Service_Name GROUP BY 1, 2""")
+LEFT JOIN catalog_ c ON c.Service_Name = b.Service_Name GROUP BY 1, 2""")
 check("churn_by_industry", "account", f"""
 SELECT Industry, count(*) AS Total_Customers, {CHURNED} AS Churned_Customers,
        {RATE} AS Churn_Rate_Pct, {LOST} AS Revenue_at_Risk FROM account GROUP BY Industry""")
@@ -191,7 +191,7 @@ FROM s QUALIFY Position <= {top}""")
 check("service_churn_wide", "wide", " UNION ALL ".join(
     f"SELECT 'Service_{i}' AS Service, count(*) AS Customers, {RATE} AS Churn_Rate_Pct, "
     f"{LOST} AS Revenue_at_Risk FROM wide WHERE Service_{i} = 1 HAVING count(*) > 0"
-    for i in range(1, 6)))
+    for i in SERVICE_NUMBERS))
 check("value_counts", "account", """
 SELECT Column_Name, Value, Customers FROM (
   SELECT Column_Name, Value, count(*) AS Customers,
@@ -349,17 +349,28 @@ SELECT Customer_ID, State, Network_Uptime, coalesce(Churn_Reason, 'Not Churned')
   coalesce(Churn_Category, 'Not Churned') AS Churn_Category,
   coalesce(Competitor_Offer, 'None') AS Competitor_Offer
 FROM dirty QUALIFY row_number() OVER (PARTITION BY Customer_ID ORDER BY Ingest_Order) = 1""")
-check("fk_orphans", "account bridge catalog_ prediction", """
-SELECT 'pk_customers' AS Constraint_Name, CAST(0 AS BIGINT) AS Violations
-UNION ALL SELECT 'pk_service_catalog', count(*) - count(DISTINCT Service_Name) FROM catalog_
-UNION ALL SELECT 'pk_customer_services', 0
-UNION ALL SELECT 'pk_churn_predictions', count(*) - count(DISTINCT Customer_ID) FROM prediction
-UNION ALL SELECT 'fk_services_customer', count(*) FROM bridge
-  WHERE Customer_ID NOT IN (SELECT Customer_ID FROM account WHERE Churn = 1)
-UNION ALL SELECT 'fk_services_catalog', count(*) FROM bridge
-  WHERE Service_Name NOT IN (SELECT Service_Name FROM catalog_ WHERE Service_Category <> 'IoT')
-UNION ALL SELECT 'fk_predictions_customer', count(*) FROM prediction
-  WHERE Customer_ID NOT IN (SELECT Customer_ID FROM account WHERE Churn = 1)""")
+check("fk_orphans", "account bridge catalog_ prediction", """,
+customers AS (SELECT Customer_ID FROM account
+  UNION ALL SELECT Customer_ID FROM account WHERE Contract_Remaining_Months = 0),
+listed AS (SELECT Service_Name FROM catalog_
+  UNION ALL SELECT Service_Name FROM catalog_ WHERE Service_Category = 'IoT'),
+held AS (SELECT Customer_ID, Service_Name FROM bridge
+  UNION ALL SELECT Customer_ID, 'Unlisted' FROM account WHERE Churn = 1
+  UNION ALL SELECT Customer_ID, Service_Name FROM bridge WHERE Service_Name = 'Brand#7'
+  UNION ALL SELECT -Customer_ID, Service_Name FROM bridge WHERE Service_Name = 'Brand#11'),
+predicted AS (SELECT Customer_ID FROM prediction
+  UNION ALL SELECT Customer_ID FROM prediction WHERE Risk_Category = 'Critical'
+  UNION ALL SELECT -Customer_ID FROM prediction WHERE Risk_Category = 'Critical')
+SELECT 'pk_customers' AS Constraint_Name, count(*) - count(DISTINCT Customer_ID) AS Violations FROM customers
+UNION ALL SELECT 'pk_service_catalog', count(*) - count(DISTINCT Service_Name) FROM listed
+UNION ALL SELECT 'pk_customer_services', count(*) - count(DISTINCT (Customer_ID, Service_Name)) FROM held
+UNION ALL SELECT 'pk_churn_predictions', count(*) - count(DISTINCT Customer_ID) FROM predicted
+UNION ALL SELECT 'fk_services_customer', count(*) FROM held
+  WHERE Customer_ID NOT IN (SELECT Customer_ID FROM customers)
+UNION ALL SELECT 'fk_services_catalog', count(*) FROM held
+  WHERE Service_Name NOT IN (SELECT Service_Name FROM listed)
+UNION ALL SELECT 'fk_predictions_customer', count(*) FROM predicted
+  WHERE Customer_ID NOT IN (SELECT Customer_ID FROM customers)""")
 
 # --- Features
 check("feature_clv", "prediction", "SELECT Customer_ID, CLV FROM prediction")
@@ -434,8 +445,7 @@ SELECT Customer_ID, CASE WHEN rn = 1 THEN Name ELSE Name || ' ' || rn END AS Uni
 FROM (SELECT Customer_ID, Name, row_number() OVER (PARTITION BY Name ORDER BY Customer_ID) AS rn
       FROM (SELECT Customer_ID, Industry || ' ' || Company_Size AS Name FROM account))""")
 check("services_bridge", "bridge", """
-SELECT Customer_ID, 'Service_' || substr(Service_Name, 7) AS Service_Name FROM bridge
-WHERE Service_Name IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')""")
+SELECT Customer_ID, 'Service_' || substr(Service_Name, 7) AS Service_Name FROM bridge""")
 
 # --- Scoring
 check("scorecard", "scored", "SELECT Customer_ID, Churn_Probability FROM scored")

@@ -104,14 +104,13 @@ FROM (SELECT *, 1 AS Ingest_Order FROM acct
       UNION ALL SELECT *, 2 FROM acct WHERE Contract_Remaining_Months = 0))
 """
 
+# One flag per service; the catalog lists Brand#1 to Brand#25.
+SERVICE_NUMBERS = range(1, 26)
 WIDE = """
 wide AS (
-SELECT a.*,
-  CASE WHEN EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND Service_Name = 'Brand#1') THEN 1 ELSE 0 END AS Service_1,
-  CASE WHEN EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND Service_Name = 'Brand#2') THEN 1 ELSE 0 END AS Service_2,
-  CASE WHEN EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND Service_Name = 'Brand#3') THEN 1 ELSE 0 END AS Service_3,
-  CASE WHEN EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND Service_Name = 'Brand#4') THEN 1 ELSE 0 END AS Service_4,
-  CASE WHEN EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND Service_Name = 'Brand#5') THEN 1 ELSE 0 END AS Service_5
+SELECT a.*, """ + ", ".join(
+    f"CAST(EXISTS (FROM bridge b WHERE b.Customer_ID = a.Customer_ID AND b.Service_Name = 'Brand#{i}')"
+    f" AS INTEGER) AS Service_{i}" for i in SERVICE_NUMBERS) + """
 FROM account a)
 """
 
@@ -255,10 +254,13 @@ FROM acct a LEFT JOIN prediction p ON p.Customer_ID = a.Customer_ID)
 
 # The first fifth of each label by hash position is the test part (label 0/1, exact shares).
 SPLIT = """
-hashed AS (
+positions AS (
 SELECT Customer_ID, Churn,
-  ((Customer_ID % 2147483647) * 1327217885 + 42 * 1000003) % 2147483647 AS h
+  ((Customer_ID % 2147483647) * 1327217885 + 42 * 1000003) % 2147483647 AS x
 FROM account),
+squares AS (SELECT *, x * x % 2147483647 AS x2 FROM positions),
+hashed AS (
+SELECT Customer_ID, Churn, (x2 * x2 % 2147483647) * x % 2147483647 AS h FROM squares),
 split AS (
 SELECT Customer_ID, Churn,
   row_number() OVER (PARTITION BY Churn ORDER BY h)

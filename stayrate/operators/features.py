@@ -102,11 +102,17 @@ HASH_MULTIPLIER = 1327217885
 
 
 def spread(df: DataFrame, key: str, seed: int) -> Column:
-    """A pseudo-random position of ``key`` in [0, HASH_MODULUS)."""
+    """A pseudo-random position of ``key`` in [0, HASH_MODULUS).
+
+    The seed shifts the positions before they are raised to the fifth power, a permutation
+    of the residues of this modulus, so that each seed orders the keys anew.
+    """
     integral = isinstance(df.schema[key].dataType, T.IntegralType)
     number = F.col(key).cast("bigint") if integral else F.xxhash64(F.col(key))
     folded = F.pmod(number, F.lit(HASH_MODULUS))
-    return (folded * HASH_MULTIPLIER + F.lit(seed * 1_000_003)) % HASH_MODULUS
+    shifted = (folded * HASH_MULTIPLIER + F.lit(seed * 1_000_003)) % HASH_MODULUS
+    square = shifted * shifted % HASH_MODULUS
+    return (square * square % HASH_MODULUS) * shifted % HASH_MODULUS
 
 
 def stratified_split(df: DataFrame, label: str = schemas.TARGET, key: str = "Customer_ID",

@@ -8,13 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def slice_by(df: DataFrame, choices: Mapping[str, Iterable]) -> DataFrame:
+# Slicers of columns that a frame has only where predictions have been joined.
+OPTIONAL_SLICERS = ("Risk_Category",)
+
+
+def slice_by(df: DataFrame, choices: Mapping[str, Iterable],
+             optional: Iterable[str] = OPTIONAL_SLICERS) -> DataFrame:
     """AND of one IN-list per non-empty choice; an empty choice restricts nothing.
 
-    A choice on a column the frame lacks (risk level without predictions) is ignored.
+    A choice on an ``optional`` column that the frame lacks is ignored; on any other it is
+    an error.
     """
+    optional = set(optional)
     for column, values in choices.items():
         values = list(values)
+        if column not in df.columns and column not in optional:
+            raise ValueError(f"no column {column!r} to slice by")
         if values and column in df.columns:
             df = df.filter(F.col(column).isin(values))
     return df

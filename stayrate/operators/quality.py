@@ -176,5 +176,14 @@ def validation_report(df: DataFrame, key: str = "Customer_ID") -> DataFrame:
 
 def validate(df: DataFrame, key: str = "Customer_ID",
              order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean frame, report): checks on the raw rows, then labels and deduplication."""
-    return keep_first(fill_structural_nulls(df), key, order), validation_report(df, key)
+    """(clean frame, report): checks on the raw rows, then labels and the first row per key.
+
+    ``order`` is the column that sorts rows as they came in, such as the one a file scan
+    adds; neither result has it. Without one, rows are written and numbered as they are
+    read, so that the first one still wins.
+    """
+    if order is None:
+        order = "_row_order"
+        df = staging.materialized(df.withColumn(order, F.monotonically_increasing_id()), "ordered")
+    clean = keep_first(fill_structural_nulls(df), key, order).drop(order)
+    return clean, validation_report(df.drop(order), key)

@@ -100,7 +100,7 @@ def load_customers(spark, sf_dir):
     wide = staging.account_wide(spark, sf_dir)
     path = new_folder(spark, "wide-csv")
     files.write_csv(wide, path)
-    return files.scan_csv(spark, path, wide.schema).drop(*derived.FLAG_SERVICES)
+    return files.load_customers(spark, path, wide.schema, staging.flag_services(spark, sf_dir))
 
 
 @query("load_catalog")
@@ -110,7 +110,11 @@ def load_catalog(spark, sf_dir):
     return files.load_catalog(spark, path)
 
 
-query("load_bridge")(staging.bridge)
+@query("load_bridge")
+def load_bridge(spark, sf_dir):
+    path = new_folder(spark, "bridge-csv")
+    files.write_csv(staging.bridge(spark, sf_dir), path)
+    return files.load_bridge(spark, path, "BIGINT")
 
 
 @query("load_predictions")
@@ -227,7 +231,7 @@ def churn_by_service(spark, sf_dir):
 on_accounts("state_rate_vs_volume", lambda a: eda.rate_vs_volume(a, "State", 10))
 on_accounts("city_rate_vs_volume", lambda a: eda.rate_vs_volume(a, "City", 15, min_customers=25))
 query("service_churn_wide")(lambda spark, sf_dir: eda.service_churn_wide(
-    staging.account_wide(spark, sf_dir), list(derived.FLAG_SERVICES)))
+    staging.account_wide(spark, sf_dir), list(staging.flag_services(spark, sf_dir))))
 on_accounts("value_counts", lambda a: eda.value_counts(a, {
     "Company_Size": None, "Customer_Segment": None, "Industry": 10, "Contract_Type": None,
     "Churn": None}))
@@ -278,11 +282,10 @@ def validated_accounts(spark, sf_dir):
 
 @query("fk_orphans")
 def fk_orphans(spark, sf_dir):
-    """Constraint violations when only churned accounts have been loaded as customers."""
-    loaded = staging.account(spark, sf_dir).filter(F.col("Churn") == 1)
-    listed = staging.catalog(spark, sf_dir).filter(F.col("Service_Category") != "IoT")
-    return quality.integrity_report(loaded, staging.bridge(spark, sf_dir), listed,
-                                    retention.prediction(spark, sf_dir))
+    """Constraint violations of the whole tables with defective rows added to each."""
+    return quality.integrity_report(*derived.with_broken_keys(
+        staging.account(spark, sf_dir), staging.bridge(spark, sf_dir),
+        staging.catalog(spark, sf_dir), retention.prediction(spark, sf_dir)))
 
 
 # --- Features ------------------------------------------------------------------------------
@@ -355,7 +358,7 @@ def dedupe_names(spark, sf_dir):
 
 @query("services_bridge")
 def services_bridge(spark, sf_dir):
-    return files.services_bridge(staging.account_wide(spark, sf_dir), list(derived.FLAG_SERVICES))
+    return files.services_bridge(staging.account_wide(spark, sf_dir), list(staging.flag_services(spark, sf_dir)))
 
 
 # --- Scoring -------------------------------------------------------------------------------

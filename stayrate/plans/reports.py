@@ -48,13 +48,14 @@ def churn_by_city(customers: DataFrame, min_customers: int = 50, top: int = 15)
 
 def churn_by_service(customers: DataFrame, bridge: DataFrame, catalog: DataFrame) -> DataFrame:
     """Churn per service. Subscriptions are summed per service before the catalog joins,
-    so the catalog meets one row per service and a popular service is no hot join key."""
+    so the catalog meets one row per service and a popular service is no hot join key.
+    Services that the catalog does not list stay, without a category."""
     paired = bridge.join(customers.select("Customer_ID", "Churn", "Annual_Contract_Value"),
                          "Customer_ID")
     services = paired.groupBy("Service_Name").agg(
         m.total().alias("Subscribers"), m.churned().alias("Churned_Subscribers"),
         m.churn_rate().alias("Churn_Rate_Pct"), m.churned_revenue().alias("Revenue_at_Risk"))
-    return by_rate(services.join(catalog, "Service_Name").select(
+    return by_rate(services.join(catalog, "Service_Name", "left").select(
         "Service_Category", "Service_Name", "Subscribers", "Churned_Subscribers",
         "Churn_Rate_Pct", "Revenue_at_Risk"), "Service_Name")
 

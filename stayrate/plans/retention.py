@@ -15,8 +15,8 @@ from stayrate.sources import files, staging
 def validated_customers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(clean customers, report) of a customer CSV: checks, labels, first row per key."""
     raw = files.scan_csv(spark, path, ingest_order="_order")
-    clean = quality.keep_first(quality.fill_structural_nulls(raw), order="_order").drop("_order")
-    return clean, quality.validation_report(raw.drop("_order"))
+    # Parsed once: the checks and the deduplication read the written rows.
+    return quality.validate(staging.materialized(raw, "parsed"), order="_order")
 
 
 def complete_accounts(accounts: DataFrame) -> DataFrame:

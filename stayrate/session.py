@@ -66,18 +66,5 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    """A handful of fixed rows as a local relation, without a Python-to-JVM transfer."""
-    def text(value) -> str:
-        if value is None:
-            return "NULL"
-        if isinstance(value, bool):
-            return str(value).upper()
-        if isinstance(value, float):
-            return f"{value!r}D"
-        return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
-
-    fields = [f.split() for f in schema.split(",")]
-    table = ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
-    columns = ", ".join(f"CAST(c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(fields))
-    names = ", ".join(f"c{i}" for i in range(len(fields)))
-    return spark.sql(f"SELECT {columns} FROM VALUES {table} AS t({names})")
+    """A handful of fixed rows as a frame."""
+    return spark.createDataFrame(rows, schema)

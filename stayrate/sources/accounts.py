@@ -18,7 +18,6 @@ _REASONS = [
     "Migration to Cloud Provider", "Internal IT Transformation", "Business Closure", "Other",
 ]
 _CATEGORIES = ["Connectivity", "Cloud", "Security", "Communication", "IoT"]
-FLAG_SERVICES = {f"Service_{i}": f"Brand#{i}" for i in range(1, 6)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,12 +159,22 @@ def derive_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.withColumn("Service_Category", _pick(number, _CATEGORIES))
 
 
-def with_flags(accounts: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Accounts plus one 0/1 column per service of ``FLAG_SERVICES``."""
+def flag_services(catalog: DataFrame) -> dict[str, str]:
+    """Flag column -> service name, for every service of the catalog in order of number.
+
+    The catalog is the service dimension; a wide table has one column per row of it.
+    """
+    names = [r[0] for r in catalog.select("Service_Name").filter("Service_Name IS NOT NULL").collect()]
+    return {f"Service_{n.partition('#')[2]}": n
+            for n in sorted(names, key=lambda n: (len(n), n))}
+
+
+def with_flags(accounts: DataFrame, bridge: DataFrame, services: dict[str, str]) -> DataFrame:
+    """Accounts plus one 0/1 column per service."""
     flags = bridge.groupBy("Customer_ID").agg(*[
         F.max(F.when(F.col("Service_Name") == brand, 1).otherwise(0)).alias(flag)
-        for flag, brand in FLAG_SERVICES.items()])
-    return accounts.join(flags, "Customer_ID", "left").fillna(0, subset=list(FLAG_SERVICES))
+        for flag, brand in services.items()])
+    return accounts.join(flags, "Customer_ID", "left").fillna(0, subset=list(services))
 
 
 def with_defects(accounts: DataFrame) -> DataFrame:
@@ -183,3 +192,26 @@ def with_defects(accounts: DataFrame) -> DataFrame:
                            .otherwise(F.col("Network_Uptime")),
         "State": F.when(F.col("Competitor_Considered") == 0, F.col("State")),
     })
+
+
+def with_broken_keys(accounts: DataFrame, bridge: DataFrame, catalog: DataFrame,
+                     predictions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables with key defects added, for the integrity checks; no row is removed.
+
+    Accounts at the end of their contract, subscriptions to one service, the IoT services
+    and the predictions of the critical tier are there twice. Subscriptions of churned accounts to
+    an unlisted service and of unknown accounts, and predictions of unknown accounts, are
+    added under negative ids.
+    """
+    ended = accounts.filter(F.col("Contract_Remaining_Months") == 0)
+    churned = accounts.filter(F.col("Churn") == 1).select("Customer_ID")
+    unlisted = churned.select("Customer_ID", F.lit("Unlisted").alias("Service_Name"))
+    doubled = bridge.filter(F.col("Service_Name") == "Brand#7")
+    unknown = bridge.filter(F.col("Service_Name") == "Brand#11").withColumn(
+        "Customer_ID", -F.col("Customer_ID"))
+    critical = predictions.filter(F.col("Risk_Category") == "Critical")
+    return (accounts.unionByName(ended),
+            bridge.unionByName(unlisted).unionByName(doubled).unionByName(unknown),
+            catalog.unionByName(catalog.filter(F.col("Service_Category") == "IoT")),
+            predictions.unionByName(critical).unionByName(
+                critical.withColumn("Customer_ID", -F.col("Customer_ID"))))

@@ -94,5 +94,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                    bucket_by=None)
 
 
+def flag_services(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return accounts.flag_services(catalog(spark, sf_dir))
+
+
 def account_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounts.with_flags(account(spark, sf_dir), bridge(spark, sf_dir))
+    return accounts.with_flags(account(spark, sf_dir), bridge(spark, sf_dir),
+                               flag_services(spark, sf_dir))

@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from oracle.statements import STATEMENTS
+from stayrate.plans.catalogue import QUERIES
 from tests.compare import difference, duck
 
-QUERIES, STATEMENTS = contract.queries(), contract.oracle_sql()
+
 # Results of trained models are not SQL-expressible; test_models checks them.
 TRAINED = {"model_lr", "model_dt", "model_gbt", "model_rf_select", "model_comparison",
            "sink_metrics", "feature_importance", "score_model", "model_roundtrip", "whatif_model",

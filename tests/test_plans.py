@@ -64,5 +64,5 @@ def test_groups_add_up(spark, sf_dir):
     shares = QUERIES["churn_by_reason"](spark, sf_dir).agg(F.sum("Pct_of_Churn")).first()[0]
     assert shares == pytest.approx(100, abs=0.1)
     flags = staging.account_wide(spark, sf_dir).agg(
-        F.sum(sum(F.col(c) for c in derived.FLAG_SERVICES))).first()[0]
+        F.sum(sum(F.col(c) for c in staging.flag_services(spark, sf_dir)))).first()[0]
     assert QUERIES["services_bridge"](spark, sf_dir).count() == flags

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayrate import schemas
 from stayrate.operators import features, quality
-from stayrate.plans import retention
+from stayrate.plans import reports, retention
 from stayrate.sources import files
 from tests.frames import accounts, column
 
@@ -137,3 +137,49 @@ def test_unique_rows_are_not_shuffled_for_deduplication(spark):
     plan = quality.keep_first(df, order="x")._jdf.queryExecution().executedPlan().toString()
     unique_part = plan.split("SortAggregate")[0]
     assert "LeftAnti" in unique_part and "Exchange hashpartitioning" not in unique_part
+
+
+def test_validate_keeps_the_first_row_without_an_order(spark):
+    rows = accounts(spark, [{"Company_Name": "Zeta"}, {"Company_Name": "Alpha"}, {}]).coalesce(1)
+    same = rows.withColumn("Customer_ID", F.when(F.col("Customer_ID") < 3, 1).otherwise(3))
+    clean, _ = quality.validate(same.sortWithinPartitions(F.desc("Company_Name")))
+    assert column(clean.where("Customer_ID = 1"), "Company_Name") == ["Zeta"]
+
+
+CATALOG = "Service_Name,Service_Category\n"
+
+
+def test_header_must_match(spark, tmp_path):
+    swapped = tmp_path / "swapped.csv"
+    swapped.write_text("Service_Category,Service_Name\nCloud,Backup\n")
+    with pytest.raises(Exception, match="header|Header|CSV"):
+        files.load_catalog(spark, str(swapped)).collect()
+    own = tmp_path / "own.csv"
+    own.write_text("Product,Service_Category\nBackup,Cloud\n")
+    found = files.load_catalog(spark, str(own), rename={"Product": "Service_Name"})
+    assert [tuple(r) for r in found.collect()] == [("Backup", "Cloud")]
+
+
+def test_malformed_rows_are_counted_or_refused(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("Customer_ID,Service_Name\n1,Backup\nx,Backup,more\n3,Backup\n")
+    kept = files.load_bridge(spark, str(path), "BIGINT", corrupt="_corrupt")
+    assert files.corrupt_rows(kept, "_corrupt").first()["Value"] == 1
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        files.load_bridge(spark, str(path), "BIGINT").collect()
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text(CATALOG + '"Two\nlines",Cloud\n')
+    assert [tuple(r) for r in files.load_catalog(spark, str(path), multiline=True).collect()] == [
+        ("Two\nlines", "Cloud")]
+
+
+def test_renamed_and_unlisted_services_stay(spark, tmp_path):
+    path = tmp_path / "bridge.csv"
+    path.write_text("Customer_ID,Service_Name\n1,Own_Cloud\n1,Other\n")
+    held = files.load_bridge(spark, str(path), "BIGINT", {"Own_Cloud": "Provider_Cloud"})
+    listed = spark.createDataFrame([("Provider_Cloud", "Cloud")], "Service_Name string, Service_Category string")
+    rows = reports.churn_by_service(accounts(spark, [{}]), held, listed).collect()
+    assert {(r.Service_Name, r.Service_Category) for r in rows} == {("Provider_Cloud", "Cloud"), ("Other", None)}

@@ -153,3 +153,23 @@ def test_profiles_take_defaults(spark):
     row = profiles.score_profiles(empty, Scorecard.fit(base)).first()
     assert row["Monthly_Bill"] == 80000.0 and row["Number_of_Outages"] == 3
     assert row["NPS_Score"] == 40 and row["Main_Risk_Factors"] == rules.PROFILE_HEALTHY
+
+
+def test_unknown_slicer_is_an_error(spark):
+    with pytest.raises(ValueError):
+        filters.slice_by(accounts(spark, [{}]), {"Stat": ["A"]})
+
+
+def test_seeds_split_independently(spark):
+    keys = spark.range(1, 5001).select(F.col("id").alias("Customer_ID"), (F.col("id") % 2).alias("Churn"))
+    parts = [{r.Customer_ID for r in features.stratified_split(keys, seed=s).where("Is_Test").collect()}
+             for s in (42, 43)]
+    assert all(len(p) == 1000 for p in parts)
+    assert 0.15 < len(parts[0] & parts[1]) / 1000 < 0.25
+
+
+def test_literal_rows_keep_their_text(spark):
+    from stayrate.session import literal_rows
+    rows = [("a\\", 1.5), ("it's \\n", float("nan"))]
+    got = literal_rows(spark, "name STRING, x DOUBLE", rows).collect()
+    assert [r.name for r in got] == ["a\\", "it's \\n"] and got[1].x != got[1].x

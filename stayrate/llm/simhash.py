@@ -185,12 +185,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3,
 def kept_documents(documents: DataFrame, **settings) -> DataFrame:
     """One document of each group, with all columns: that of the smallest doc_id. Rows that
     repeat a kept doc_id and its text collapse to one. Rows without a doc_id stay only
-    where their group has no other id."""
+    where their group has no other id.
+
+    Only the ids that go, or that stand on several rows, are joined with the documents;
+    texts are shuffled where Spark finds those ids too many to broadcast.
+    """
     found = near_duplicates(documents, **settings)
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("k")).distinct())
+    flags = stored(found.groupBy(F.col("doc_id").alias("k")).agg(
+        F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "flags")
     plain, names, at = numbered(documents)
-    key = F.col(at["doc_id"])
-    rows = plain.join(stored(kept, "kept"), key.eqNullSafe(F.col("k")), "left_semi")
-    return (rows.withColumn("k", F.xxhash64(at["text"]))
-            .dropDuplicates([at["doc_id"], "k"]).drop("k").toDF(*names))
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("k"))
+    rows = plain.join(flags.where("not kept").select("k"), same, "left_anti")
+    repeated = flags.where("kept").select("k")
+    if not repeated.isEmpty():
+        once = (rows.join(repeated, same, "left_semi").withColumn("h", F.xxhash64(at["text"]))
+                .dropDuplicates([at["doc_id"], "h"]).drop("h"))
+        rows = rows.join(repeated, same, "left_anti").unionByName(once)
+    return rows.toDF(*names)

@@ -110,6 +110,14 @@ def runs(batches, keys: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def deal(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with equal ``by`` together and sorted by ``order``, in as many partitions as
+    ``spark.sql.shuffle.partitions`` says: adaptive execution sizes partitions by bytes and
+    would put comparisons, which are much work on few bytes, into a handful of tasks."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *by).sortWithinPartitions(*order)
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the links i-j."""
     root = np.arange(n)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayrate.llm.common import cells, local_roots, map_arrow, pick, runs, stored
+from stayrate.llm.common import cells, deal, local_roots, map_arrow, pick, runs, stored
 from stayrate.llm.components import components
 
 CHUNK = 512
@@ -121,7 +121,7 @@ def near_links(classes: DataFrame, threshold: float, chunk: int = CHUNK) -> Data
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[some]), pa.array(root[some]), pa.array(total[some])], ["a", "b", "n"])
 
-    return (dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return (deal(dealt, keys, keys)
             .select(*keys, "chunk", "id", "n", "vector", "signs")
             .transform(map_arrow, compare, "a bigint, b bigint, n bigint"))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import (cells, local_roots, map_arrow, numbered, pick, runs,
+from stayrate.llm.common import (cells, deal, local_roots, map_arrow, numbered, pick, runs,
                                   slices, stored, utf8, with_fields)
 from stayrate.llm.components import components
 
@@ -160,8 +160,7 @@ def links(fingerprints: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataF
                     [pa.array(fp[moved].view(np.int64)), pa.array(fp[root[moved]].view(np.int64))],
                     ["a", "b"])
 
-    return (dealt.repartition(*keys).sortWithinPartitions(*keys)
-            .select(*keys, "chunk", "fp").transform(map_arrow, compare, "a bigint, b bigint"))
+    return (deal(dealt, keys, keys).select(*keys, "chunk", "fp").transform(map_arrow, compare, "a bigint, b bigint"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3,

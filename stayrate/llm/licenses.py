@@ -82,15 +82,36 @@ EQUIVALENT = [
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*$"
 OTHER = r"[^\p{L}\p{N}]+"
 PARAGRAPH = r"\n[ \t\r]*\n"
+# Stands between paragraphs while a whole text is brought to its form; a text's own ones
+# become a point, which is as little a letter or digit.
+MARK = "\x01"
+
+
+def worded(text: Column) -> Column:
+    """Lower-case words of a text, each between two spaces of its own, without copyright
+    lines; line ends stay and paragraphs are parted by MARK."""
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(".")), PARAGRAPH, f"\n{MARK}\n")
+    plain = F.regexp_replace(F.lower(marked), COPYRIGHT_LINE, "")
+    words = F.regexp_replace(plain, r"[^\p{L}\p{N}\n\x01]+", "  ")
+    return F.concat(F.lit("  "), F.replace(words, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
+
+
+def spelled(words: Column) -> Column:
+    """``worded`` text with one spelling of equivalent words; few texts hold another."""
+    form = words
+    for variant, standard in EQUIVALENT:
+        form = F.replace(form, F.lit(f" {variant} "), F.lit(f" {standard} "))
+    other = " (?:" + "|".join(variant for variant, _ in EQUIVALENT) + ") "
+    return F.when(F.rlike(words, F.lit(other)), form).otherwise(words)
+
+
+def tidy(form: Column) -> Column:
+    return F.trim(F.regexp_replace(form, r"[ \n\x01]+", " "))
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a licence text; null stays null."""
-    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    spaced = F.concat(F.lit(" "), F.regexp_replace(plain, OTHER, " "), F.lit(" "))
-    for variant, standard in EQUIVALENT:
-        spaced = F.replace(spaced, F.lit(f" {variant} "), F.lit(f" {standard} "))
-    return F.trim(spaced)
+    return tidy(spelled(worded(text)))
 
 
 def digest(text: Column) -> Column:
@@ -114,18 +135,21 @@ def licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
     repeated rows get the same result each. An empty table gives an empty result.
     """
     rows = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
-    units = F.array_union(F.array_union(F.array("text"), F.split("text", PARAGRAPH)),
-                          F.split("text", "\n"))
-    found = (rows.select("doc_id", "h", F.col("text").alias("whole"), F.explode(units).alias("unit"))
-             .select("doc_id", "h", (F.col("unit") == F.col("whole")).alias("is_whole"),
-                     canonical(F.col("unit")).alias("form")).where("form <> ''")
-             .withColumn("digest", F.sha2("form", 256))
-             .join(known, "digest").select("doc_id", "h", "is_whole", "digest", "license_id"))
-    # A copyright line can leave a paragraph or line the same form as the whole text.
-    per_row = stored(found.distinct().groupBy("doc_id", "h").agg(
+    # Written, the known digests have a size by which Spark decides about a broadcast.
+    known = stored(known.select("digest", "license_id"), "licenses")
+    # A text is brought to its form once; its lines and paragraphs are cut from that.
+    forms = (rows.select("doc_id", "h", worded(F.col("text")).alias("words"))
+             .select("doc_id", "h", spelled(F.col("words")).alias("form")))
+    units = F.concat(F.array("form"), F.split("form", MARK), F.split("form", "\n"))
+    found = (forms.select("doc_id", "h", F.posexplode(units).alias("at", "unit"))
+             .select("doc_id", "h", "at", tidy(F.col("unit")).alias("form")).where("form <> ''")
+             .select("doc_id", "h", (F.col("at") == 0).alias("is_whole"),
+                     F.sha2("form", 256).alias("digest"))
+             .join(known, "digest"))
+    per_row = stored(found.groupBy("doc_id", "h").agg(
         F.max(F.when(F.col("is_whole"), F.col("license_id"))).alias("whole_license"),
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"),
-        F.count_distinct("digest").alias("n_units"))
+        F.size(F.collect_set("digest")).alias("n_units"))
         .withColumnRenamed("doc_id", "f_id").withColumnRenamed("h", "f_h"), "licensed")
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
     return rows.select("doc_id", "h").join(per_row, same, "left").select(

@@ -160,11 +160,11 @@ def _quoted(text: str) -> str:
 
 def _canonical(column: str) -> str:
     """SQL for the canonical form, over the same fixed patterns and spellings."""
-    form = (f"' ' || regexp_replace(regexp_replace(lower({column}), "
-            f"{_quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {_quoted(licenses.OTHER)}, ' ', 'g') || ' '")
+    form = (f"'  ' || regexp_replace(regexp_replace(lower({column}), "
+            f"{_quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {_quoted(licenses.OTHER)}, '  ', 'g') || '  '")
     for variant, standard in licenses.EQUIVALENT:
         form = f"replace({form}, ' {variant} ', ' {standard} ')"
-    return f"trim({form})"
+    return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
 
 
 OP8 = f"""

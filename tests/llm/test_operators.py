@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from stayrate.llm import (common, components, decontaminate, embeddings, licenses, mixing, quality,
@@ -405,6 +406,23 @@ def test_licenses(spark):
     assert licenses.licenses(documents(spark, []), licenses.registry(spark)).count() == 0
 
 
+def test_license_units_are_cut_as_if_each_stood_alone(spark):
+    texts = ["a licence licence, b\n(c) 2020 someone\nc\n \t\r\nCopyright x\n\nd\n\n\ne whilst",
+             "\x01one\x01\n\x01\ntwo\n\nthree\r\n\r\nfour", "\n\n(C) y\nonly line\n",
+             "non-infringement\nnoninfringement\n\nNonInfringement whilst whilst whilst"]
+    units = [(n, u) for n, t in enumerate(texts)
+             for u in {t, *re.split(licenses.PARAGRAPH, t), *t.split("\n")}]
+    forms = (spark.createDataFrame(units, "n int, unit string")
+             .select("n", licenses.canonical(F.col("unit")).alias("form")).where("form <> ''").collect())
+    known = spark.createDataFrame([(f"L{i}", f) for i, f in enumerate({r.form for r in forms})],
+                                  "license_id string, form string")
+    known = known.select("license_id", F.sha2("form", 256).alias("digest"))
+    got = licenses.licenses(documents(spark, list(enumerate(texts))), known).collect()
+    assert {r.doc_id: r.n_units for r in got} == {
+        n: len({r.form for r in forms if r.n == n}) for n in range(len(texts))}
+    assert "a license license b" in {r.form for r in forms}
+
+
 # --- decontamination ----------------------------------------------------------------------
 
 def test_decontamination_in_one_and_many_passes(spark, sf_dir):

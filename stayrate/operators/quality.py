@@ -113,38 +113,48 @@ def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5,
     return df.withColumn(alias, F.coalesce(outside, F.lit(False)))
 
 
-def missing_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child key values without a parent, with their row counts.
+def integrity_report(customers: DataFrame, bridge: DataFrame, catalog: DataFrame,
+                     predictions: DataFrame) -> DataFrame:
+    """Violations of the declared primary and foreign keys, one row per constraint.
 
-    Children are counted per key first, so a key shared by many rows crosses the
-    exchange once.
+    Every table is reduced to its keys and their row counts once, in one written table;
+    all constraints read those.
     """
-    counts = child.groupBy(key).agg(F.count(F.lit(1)).alias("Rows"))
-    return counts.join(parent.select(key).distinct(), key, "left_anti")
+    def keyed(table: str, df: DataFrame, *keys: str) -> DataFrame:
+        named = [F.col(k) if k in keys else F.lit(None).cast(kind).alias(k)
+                 for k, kind in (("Customer_ID", customers.schema["Customer_ID"].dataType),
+                                 ("Service_Name", "string"))]
+        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                .select(F.lit(table).alias("_table"), *named, "_n"))
 
+    counts = staging.materialized(
+        keyed("customers", customers, "Customer_ID")
+        .unionByName(keyed("catalog", catalog, "Service_Name"))
+        .unionByName(keyed("bridge", bridge, "Customer_ID", "Service_Name"))
+        .unionByName(keyed("predictions", predictions, "Customer_ID")), "key-counts")
 
-def integrity_report(customers: DataFrame, bridge: DataFrame, catalog: DataFrame,
-                     predictions: DataFrame) -> DataFrame:
-    """Violations of the declared primary and foreign keys, one row per constraint."""
-    def extra(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-        return (df.groupBy(*keys).count()
-                .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint")
-                     .alias("Violations"))
-                .select(F.lit(label).alias("Constraint_Name"), "Violations"))
-
-    def orphans(child: DataFrame, parent: DataFrame, key: str, label: str) -> DataFrame:
-        return (missing_keys(child, parent, key)
-                .agg(F.coalesce(F.sum("Rows"), F.lit(0)).cast("bigint").alias("Violations"))
-                .select(F.lit(label).alias("Constraint_Name"), "Violations"))
+    def of(table: str) -> DataFrame:
+        return counts.filter(F.col("_table") == table)
+
+    def violations(df: DataFrame, amount: Column, label: str) -> DataFrame:
+        return df.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("Violations")).select(
+            F.lit(label).alias("Constraint_Name"), "Violations")
+
+    def extra(table: str, label: str) -> DataFrame:
+        return violations(of(table), F.col("_n") - 1, label)
+
+    def orphans(child: str, parent: str, key: str, label: str) -> DataFrame:
+        per_key = of(child).groupBy(key).agg(F.sum("_n").alias("_n"))
+        return violations(per_key.join(of(parent).select(key), key, "left_anti"), F.col("_n"), label)
 
     parts = [
-        extra(customers, ["Customer_ID"], "pk_customers"),
-        extra(catalog, ["Service_Name"], "pk_service_catalog"),
-        extra(bridge, ["Customer_ID", "Service_Name"], "pk_customer_services"),
-        extra(predictions, ["Customer_ID"], "pk_churn_predictions"),
-        orphans(bridge, customers, "Customer_ID", "fk_services_customer"),
-        orphans(bridge, catalog, "Service_Name", "fk_services_catalog"),
-        orphans(predictions, customers, "Customer_ID", "fk_predictions_customer"),
+        extra("customers", "pk_customers"),
+        extra("catalog", "pk_service_catalog"),
+        extra("bridge", "pk_customer_services"),
+        extra("predictions", "pk_churn_predictions"),
+        orphans("bridge", "customers", "Customer_ID", "fk_services_customer"),
+        orphans("bridge", "catalog", "Service_Name", "fk_services_catalog"),
+        orphans("predictions", "customers", "Customer_ID", "fk_predictions_customer"),
     ]
     report = parts[0]
     for part in parts[1:]:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayrate.sources import staging
+
 
 def _default_buckets(df: DataFrame) -> int:
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -74,7 +76,7 @@ def running_counts(df: DataFrame, columns: list[str], by: tuple[str, ...] = (),
 
     below = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    totals = stacked.groupBy(*keys, "_bucket").agg(*sums)
+    totals = hist.groupBy(*keys, "_bucket").agg(*[F.sum(k).alias(k) for k in weights])
     offsets = totals.select(
         *keys, "_bucket",
         *[F.coalesce(F.sum(k).over(below), F.lit(0)).alias(f"_off_{k}") for k in weights],
@@ -124,18 +126,24 @@ def attach_rank_pct(df: DataFrame, column: str, alias: str) -> DataFrame:
 
     Values that hold more than a thousandth of the rows are joined by broadcast (there
     are fewer than a thousand such values, whatever the data), so no join task receives
-    a hot value; the rest is an ordinary equi-join.
+    a hot value; the rest is an equi-join. Rows that have their rank, or no value, pass
+    through that join spread by a number of their own. The ranks are written once, so the
+    rows are read once more only to receive them.
     """
-    ranks = running_counts(df, [column]).select(
-        F.col("value").alias("_value"), average_rank_pct().alias(alias),
-        (F.col("n") * 1000 > F.col("total_n")).alias("_hot"))
-    keyed = df.withColumn("_value", F.col(column).cast("double"))
-    hot = F.broadcast(ranks.filter("_hot").drop("_hot"))
-    marked = keyed.join(hot, "_value", "left")
-    settled = marked.filter(F.col(alias).isNotNull() | F.col("_value").isNull())
-    open_rows = marked.filter(F.col(alias).isNull() & F.col("_value").isNotNull()).drop(alias)
-    rest = open_rows.join(ranks.filter(~F.col("_hot")).drop("_hot"), "_value", "left")
-    return settled.unionByName(rest).drop("_value")
+    ranks = staging.materialized(running_counts(df, [column]).select(
+        F.col("value").alias("_value"), average_rank_pct().alias("_rank"),
+        (F.col("n") * 1000 > F.col("total_n")).alias("_hot")), "ranks")
+    hot = F.broadcast(ranks.filter("_hot").select("_value", F.col("_rank").alias("_hot_rank")))
+    marked = df.withColumn("_value", F.col(column).cast("double")).join(hot, "_value", "left")
+    waits = F.col("_value").isNotNull() & F.col("_hot_rank").isNull()
+    placed = marked.withColumns({
+        "_cold": F.when(waits, F.col("_value")),
+        "_place": F.when(waits, F.lit(0)).otherwise(F.monotonically_increasing_id())})
+    # A literal 0 here would be folded out of the join's keys; a column of them is not.
+    cold = ranks.filter(~F.col("_hot")).select(
+        F.col("_value").alias("_cold"), F.col("_hot").cast("bigint").alias("_place"), "_rank")
+    return placed.join(cold, ["_cold", "_place"], "left").select(
+        *df.columns, F.coalesce("_hot_rank", "_rank").alias(alias))
 
 
 def ordinal_within(df: DataFrame, key: str, order: str, alias: str,

@@ -66,3 +66,9 @@ def test_groups_add_up(spark, sf_dir):
     flags = staging.account_wide(spark, sf_dir).agg(
         F.sum(sum(F.col(c) for c in staging.flag_services(spark, sf_dir)))).first()[0]
     assert QUERIES["services_bridge"](spark, sf_dir).count() == flags
+
+
+def test_few_scans_for_ranks(spark, sf_dir):
+    """Ranks are written once: the rows are read again only to receive them."""
+    text = plan(QUERIES["acv_percentile_rank"](spark, sf_dir))
+    assert text.count("FileScan parquet") <= 3, text

@@ -187,6 +187,24 @@ def test_common_words():
         assert substrings.common_words(a, b) == table[-1, -1]
 
 
+def test_chain_over_two_passages_is_cut_at_its_gap(spark):
+    first, second = [f"a{i}" for i in range(90)], [f"b{i}" for i in range(90)]
+    rows = [(1, " ".join(first + [f"x{i}" for i in range(70)] + second)),
+            (2, " ".join(first + [f"y{i}" for i in range(70)] + second))]
+    found = sorted((r.start_word, r.end_word, r.ref_start, r.ref_end, r.identity)
+                   for r in substrings.passages(documents(spark, rows)).collect())
+    assert found == [(0, 90, 0, 90, 1.0), (160, 250, 160, 250, 1.0)]
+
+
+def test_passage_whose_seeds_an_earlier_text_holds_in_part(spark):
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(1, " ".join([f"u{i}" for i in range(60)] + passage[:45])), (2, " ".join(passage)),
+            (3, " ".join([f"v{i}" for i in range(30)] + passage))]
+    found = {(r.doc_id, r.ref_doc_id): (r.start_word, r.end_word)
+             for r in substrings.passages(documents(spark, rows)).collect()}
+    assert found == {(3, 2): (30, 150)}
+
+
 def test_substrings_odd_rows(spark):
     assert substrings.passages(documents(spark, odd_rows())).count() == 0
     assert substrings.passages(documents(spark, [])).count() == 0

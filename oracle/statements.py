@@ -30,7 +30,7 @@ SELECT 'customers' AS Table_Name, count(*) AS Rows FROM account
 UNION ALL SELECT 'customer_services', count(*) FROM bridge
 UNION ALL SELECT 'service_catalog', count(*) FROM catalog_
 UNION ALL SELECT 'churn_predictions', count(*) FROM prediction""")
-for name in ("sink_predictions", "retention_scores"):
+for name in ("sink_predictions", "retention_scores", "retention_from_csv"):
     check(name, "prediction", "SELECT * FROM prediction")
 
 # --- Filters and mappings

@@ -400,6 +400,20 @@ def retention_scores(spark, sf_dir):
     return scoring.export(retention.score_with_scorecard(staging.account(spark, sf_dir)))
 
 
+@query("retention_from_csv")
+def retention_from_csv(spark, sf_dir):
+    """The job over its real entry: a CSV that lists churned accounts a second time, under
+    another state, is validated and scored, and the full export is read back."""
+    accounts = full_account(spark, sf_dir)
+    again = accounts.filter(F.col("Churn") == 1).withColumn("State", F.lit("Elsewhere"))
+    path = new_folder(spark, "customers-csv")
+    files.write_csv(accounts.unionByName(again), path)
+    clean, _ = retention.validated_customers(spark, path, accounts.schema)
+    exported = files.write_predictions(retention.score_with_scorecard(clean),
+                                       new_folder(spark, "predictions"))
+    return spark.read.parquet(exported["full"])
+
+
 def _profile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hypothetical profile per account; inputs that were not asked stay empty."""
     accounts = staging.account(spark, sf_dir)
@@ -518,10 +532,12 @@ query("model_rf_select")(lambda spark, sf_dir: _training(spark, sf_dir).forests)
 
 @query("sink_metrics")
 def sink_metrics(spark, sf_dir):
-    """The comparison written as JSON and read back."""
+    """The report of the training run written as JSON, and its comparison read back."""
     path = new_folder(spark, "metrics")
-    files.write_json(_comparison(spark, sf_dir), path)
-    return spark.read.schema(_comparison(spark, sf_dir).schema).json(path)
+    files.write_report(spark, _selected(spark, sf_dir).report, path)
+    rows = T.ArrayType(_comparison(spark, sf_dir).schema)
+    return (spark.read.schema(T.StructType([T.StructField("models", rows)])).json(path)
+            .select(F.inline("models")))
 
 
 query("feature_importance")(lambda spark, sf_dir: _selected(spark, sf_dir).importance(spark))

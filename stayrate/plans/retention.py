@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stayrate import schemas
 from stayrate.functions import rules
 from stayrate.operators import features, quality, scoring
 from stayrate.operators.models import ChurnModel
@@ -12,9 +14,10 @@ from stayrate.operators.scorecard import Scorecard
 from stayrate.sources import files, staging
 
 
-def validated_customers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def validated_customers(spark: SparkSession, path: str, schema: str | T.StructType = schemas.CUSTOMERS,
+                        **options) -> tuple[DataFrame, DataFrame]:
     """(clean customers, report) of a customer CSV: checks, labels, first row per key."""
-    raw = files.scan_csv(spark, path, ingest_order="_order")
+    raw = files.scan_csv(spark, path, schema, ingest_order="_order", **options)
     # Parsed once: the checks and the deduplication read the written rows.
     return quality.validate(staging.materialized(raw, "parsed"), order="_order")
 

@@ -24,6 +24,8 @@ def build_session(master: str | None = None, app: str = "stayrate", **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Models are fitted side by side; small jobs of one must not wait behind another's.
+        "spark.scheduler.mode": "FAIR",
         # Recording a Python call site per expression costs more than planning the query.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,

@@ -76,13 +76,15 @@ def _steps(begins, a, b, most=1 << 16):
 
 
 def with_fingerprints(texts: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``text`` to ``doc_id`` and ``fp``, the fingerprint as a signed long."""
-    schema = with_fields(texts.select("doc_id"), "fp bigint")
+    """``text`` and other columns to those and ``fp``, the fingerprint as a signed long."""
+    others = [c for c in texts.columns if c != "text"]
+    schema = with_fields(texts.select(*others), "fp bigint")
 
     def sign(batches):
         for part in slices(batches):
             fp = fingerprint_many(utf8(part), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, others), pa.array(fp)],
+                                             [*others, "fp"])
 
     return texts.transform(map_arrow, sign, schema)
 
@@ -182,23 +184,42 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3,
 
 
 def kept_documents(documents: DataFrame, **settings) -> DataFrame:
-    """One document of each group, with all columns: that of the smallest doc_id. Rows that
-    repeat a kept doc_id and its text collapse to one. Rows without a doc_id stay only
-    where their group has no other id.
+    """One row of each group of near-duplicates, with all columns."""
+    return one_per_group(documents, grouped(documents, **settings))
 
-    Only the ids that go, or that stand on several rows, are joined with the documents;
-    texts are shuffled where Spark finds those ids too many to broadcast.
+
+def grouped(documents: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, h, root) of every row: ``h`` is the text's hash, ``root`` names its group."""
+    texts = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    signed = stored(with_fingerprints(texts, shingle, seed), "signed")
+    roots = stored(components(links(signed.select("fp").distinct(), radius)), "roots")
+    return signed.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "doc_id", "h", F.coalesce("root", "fp").alias("root"))
+
+
+def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of each group: that of the smallest doc_id and, among its texts, the smallest
+    text hash; a row without an id only where no row of the group has one. ``groups`` holds
+    ``doc_id``, ``h`` and ``root`` of every row.
+
+    Only hashes of the rows that go, or that are repeated, are joined with the documents;
+    texts are shuffled where Spark finds those hashes too many to broadcast.
     """
-    found = near_duplicates(documents, **settings)
-    flags = stored(found.groupBy(F.col("doc_id").alias("k")).agg(
-        F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
-        F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "flags")
+    rows = stored(groups.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "rows")
+    first = stored(rows.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
+        .select(F.col("root").alias("g"), F.col("first.doc_id").alias("f_id"),
+                F.col("first.h").alias("f_h")), "first")
+    kept = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    flags = stored(rows.join(first, F.col("root") == F.col("g")).select(
+        F.xxhash64("doc_id", "h").alias("row"), "n", kept.alias("kept"))
+        .where("not kept or n > 1"), "flags")
     plain, names, at = numbered(documents)
-    same = F.col(at["doc_id"]).eqNullSafe(F.col("k"))
-    rows = plain.join(flags.where("not kept").select("k"), same, "left_anti")
-    repeated = flags.where("kept").select("k")
+    keyed = plain.withColumn("row", F.xxhash64(at["doc_id"], F.xxhash64(at["text"])))
+    gone = stored(flags.where("not kept").select("row"), "gone")
+    out = keyed.join(gone, "row", "left_anti")
+    repeated = stored(flags.where("kept").select("row"), "repeated")
     if not repeated.isEmpty():
-        once = (rows.join(repeated, same, "left_semi").withColumn("h", F.xxhash64(at["text"]))
-                .dropDuplicates([at["doc_id"], "h"]).drop("h"))
-        rows = rows.join(repeated, same, "left_anti").unionByName(once)
-    return rows.toDF(*names)
+        once = out.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+        out = out.join(repeated, "row", "left_anti").unionByName(once)
+    return out.drop("row").toDF(*names)

@@ -122,6 +122,21 @@ def test_simhash_odd_rows(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_rows_without_id_and_repeated_ids_are_kept_by_row(spark):
+    rng = random.Random(12)
+    text, other, lone = prose(rng, 400), prose(rng, 400), prose(rng, 400)
+    near = text.rsplit(" ", 1)[0] + " end"
+    # A group without any id stands beside rows without id that are copies of kept ones.
+    rows = [(None, lone), (1, text), (None, near), (None, text), (2, other), (2, text), (2, other),
+            (None, lone)]
+    want = sorted([(1, text), (2, other), (None, lone)], key=str)
+    for groups in (simhash.grouped,):
+        kept = simhash.one_per_group(documents(spark, rows), groups(documents(spark, rows)))
+        assert sorted([(r[0], r[1]) for r in kept.collect()], key=str) == want
+    assert sorted([(r[0], r[1]) for r in simhash.kept_documents(documents(spark, rows)).collect()],
+                  key=str) == want
+
+
 # --- components ---------------------------------------------------------------------------
 
 def test_components(spark):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from stayrate.llm import (common, components, decontaminate, embeddings, licenses, mixing, quality,
+from stayrate.llm import (common, components, decontaminate, embeddings, jaccard, licenses, mixing, quality,
                           queries, sharding, simhash, substrings, tokens, toxicity)
 from tests.compare import difference, duck
 
@@ -130,13 +130,55 @@ def test_rows_without_id_and_repeated_ids_are_kept_by_row(spark):
     rows = [(None, lone), (1, text), (None, near), (None, text), (2, other), (2, text), (2, other),
             (None, lone)]
     want = sorted([(1, text), (2, other), (None, lone)], key=str)
-    for groups in (simhash.grouped,):
+    for groups in (simhash.grouped, jaccard.near_duplicates):
         kept = simhash.one_per_group(documents(spark, rows), groups(documents(spark, rows)))
         assert sorted([(r[0], r[1]) for r in kept.collect()], key=str) == want
     assert sorted([(r[0], r[1]) for r in simhash.kept_documents(documents(spark, rows)).collect()],
                   key=str) == want
 
 
+# --- near-duplicates by Jaccard similarity ------------------------------------------------
+
+def plain_jaccard_pairs(texts):
+    grams = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        grams[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return [(a, b) for a in grams for b in grams if a < b and 5 * len(grams[a] & grams[b]) >=
+            4 * max(1, len(grams[a] | grams[b]))]
+
+
+def test_pipeline_near_dedup_agrees_with_brute_force_jaccard(spark, corpus):
+    import corpus_pipeline
+    rng = random.Random(21)
+    texts = [(i, t) for i, t in corpus if t and t.split()]
+    for i in range(60):  # near copies on both sides of the threshold
+        words = prose(rng, rng.randrange(60, 300)).split()
+        for k in range(3):
+            changed = words[:]
+            for at in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(1, 5) // 100)):
+                changed[at] = "changed"
+            texts.append((100_000 + 10 * i + k, " ".join(changed)))
+    pairs = plain_jaccard_pairs(texts)
+    root = plain_components([i for i, _ in texts], pairs)
+    fps = {i: plain_fingerprint(t) for i, t in texts}
+    assert any(bin(fps[a] ^ fps[b]).count("1") > 3 for a, b in pairs)
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, texts), "").collect()
+    assert sorted(r[0] for r in got) == sorted(set(root.values()))
+
+
+def test_jaccard_links_over_split_buckets(spark):
+    rng = random.Random(22)
+    words = prose(rng, 300).split()
+    texts = [(i, " ".join(words[:i] + ["changed"] + words[i + 1:])) for i in range(40)]
+    rows = documents(spark, texts)
+    signed = jaccard.with_sets(common.pick(rows, "doc_id", "text").withColumn("h", F.xxhash64("text")))
+    found = jaccard.links(signed, common.pick(rows, "doc_id", "text").withColumn("h", F.xxhash64("text")),
+                          chunk=1000)
+    assert components.components(found).select("root").distinct().count() == 1
+    assert components.components(found).count() == 39
+
+
 # --- components ---------------------------------------------------------------------------
 
 def test_components(spark):

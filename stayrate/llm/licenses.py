@@ -8,12 +8,15 @@ up are a document's whole text, its paragraphs and its lines.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.llm.common import pick, stored
 
-# Notices and short licence texts by SPDX identifier.
+# Notices and short licence texts by SPDX identifier; whole texts follow below.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -66,6 +69,38 @@ DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
 OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 ]
 
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+          "ISC": ["ISC License"],
+          "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'],
+          "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License']}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Standard whole texts: the files of ``license_texts``, each as it stands; and the short
+    permissive ones, which are spread in several layouts, with and without their title, a
+    line that reserves all rights, and numbers before their conditions."""
+    folder = Path(__file__).resolve().parent / "license_texts"
+    files = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+    texts = dict(files)
+    short = {i: t for i, t in KNOWN if len(t) > 500}
+    two = texts["BSD-2-Clause"].partition("\n")[2]
+    end = two.index("THIS SOFTWARE")
+    short["BSD-2-Clause"] = two
+    short["BSD-3-Clause"] = (
+        two[:end] + "3. Neither the name of the copyright holder nor the names of its contributors "
+        "may be used to endorse or promote products derived from this software without specific "
+        "prior written permission.\n\n" + two[end:])
+    out = []
+    for name, text in short.items():
+        for body in dict.fromkeys((text, re.sub(r"(?m)^\d\. ", "", text))):
+            for rights in ("", "All rights reserved.\n\n"):
+                out += [(name, f"{title}\n\n{rights}{body}") for title in ("", *TITLES[name])]
+    return files + out
+
+
+# Before the last entry, which stays the plain text of MIT.
+KNOWN[-1:-1] = whole_texts()
+
 # Spellings that count as one word, after lower-casing.
 EQUIVALENT = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"),

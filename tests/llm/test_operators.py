@@ -481,6 +481,30 @@ def test_licenses(spark):
     assert licenses.licenses(documents(spark, []), licenses.registry(spark)).count() == 0
 
 
+def test_whole_standard_texts(spark):
+    from pathlib import Path
+    folder = Path(licenses.__file__).parent / "license_texts"
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause",
+            "CC0-1.0"} <= set(texts)
+    names = sorted(texts)
+    # Other line breaks, letter case and a copyright line of its own make no difference.
+    rows = [(n, "Copyright 2021 Someone\n" + texts[name].upper().replace(" ", "  "))
+            for n, name in enumerate(names)]
+    mit, isc = licenses.KNOWN[-1][1], next(t for i, t in licenses.KNOWN if i == "ISC")
+    bsd = texts["BSD-2-Clause"]
+    rows += [(100, "MIT License\n\nCopyright (c) 2021 Someone\n\n" + mit),
+             (101, "ISC License\n\nCopyright (c) 2021 Someone\n\n" + isc),
+             (102, bsd.replace("1. ", "* ").replace("2. ", "* ")),
+             (103, "BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n"
+              + next(t for i, t in licenses.KNOWN if i == "BSD-3-Clause" and "copyright holder" in t)),
+             (104, "before\n\n" + texts["GPL-2.0"])]
+    got = {r.doc_id: r.whole_license for r in licenses.licenses(
+        documents(spark, rows), licenses.registry(spark)).collect()}
+    assert got == dict(enumerate(names)) | {100: "MIT", 101: "ISC", 102: "BSD-2-Clause",
+                                            103: "BSD-3-Clause", 104: None}
+
+
 def test_license_units_are_cut_as_if_each_stood_alone(spark):
     texts = ["a licence licence, b\n(c) 2020 someone\nc\n \t\r\nCopyright x\n\nd\n\n\ne whilst",
              "\x01one\x01\n\x01\ntwo\n\nthree\r\n\r\nfour", "\n\n(C) y\nonly line\n",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import (decontaminate, embeddings, licenses, mixing, quality, sharding, simhash,
-                          substrings, tokens, toxicity)
+from stayrate.llm import (bpe, decontaminate, embeddings, licenses, mixing, periods, phrases, quality,
+                          sharding, simhash, substrings, tokens, toxicity)
 
 MIX = {"weights": [3, 1, 2], "budget_share": 1.5, "max_epochs": 2, "seed": 42}
 SHARDS = 40
@@ -62,9 +62,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_substrings, op3_embeddings, op4_tokens, op5_quality, op6_toxicity, op7_mixing,
-    op8_licenses, op9_decontaminate, op10_sharding)}
+    op8_licenses, op9_decontaminate, op10_sharding, op11_bpe, op12_phrases, op13_periods)}
 
 OP3 = """
 WITH RECURSIVE v AS (
@@ -153,6 +167,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+      FROM w, (VALUES (1), (2), (3), (4)) AS k(m) WHERE len(w) >= m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k, l.f AS l, r.f AS r,
+         CAST((2000000::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
+         JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, m - n + 2)) AS i FROM c, (VALUES (2), (3)) AS q(n) WHERE n < m)
+  GROUP BY ALL),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -188,4 +233,5 @@ SELECT doc_id, whole_license, coalesce(licenses, '') AS licenses,
 FROM d LEFT JOIN g USING (rid)
 """
 
-STATEMENTS = {"op3_embeddings": OP3, "op7_mixing": OP7, "op8_licenses": OP8, "op9_decontaminate": OP9}
+STATEMENTS = {"op3_embeddings": OP3, "op7_mixing": OP7, "op8_licenses": OP8, "op9_decontaminate": OP9,
+              "op12_phrases": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayrate.llm import decontaminate, jaccard, mixing, quality, sharding, simhash
+from stayrate.llm import decontaminate, mixing, quality, sharding, simhash
 from stayrate.llm.common import stored
 from stayrate.llm.queries import MIX, SHARDS, table
 
@@ -19,8 +19,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at Jaccard 0.8 or more."""
-    return simhash.one_per_group(docs, jaccard.near_duplicates(docs))
+    """One document of each group of fingerprints over three-word shingles that are linked
+    at three or fewer differing bits."""
+    return simhash.kept_documents(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Licence scans by canonical digest lookup.
 
-A text is brought to a canonical form - lower case, no copyright lines, one spelling of
-equivalent words, single spaces for everything else but letters and digits - and the digest
-of the whole form is joined with the digests of known licences. The units that are looked
-up are a document's whole text, its paragraphs and its lines.
+A text is brought to a canonical form - lower case, one spelling of equivalent words, single
+spaces for everything else but letters and digits, no copyright notice before the words with
+which a known licence opens - and the digest of the whole form is joined with the digests of
+known licences. The form knows words alone, so line breaks make no difference to it. The
+units that are looked up are a document's whole text, its paragraphs and its lines.
 """
 
 from __future__ import annotations
@@ -114,19 +115,40 @@ EQUIVALENT = [
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©)[^\n]*$"
-OTHER = r"[^\p{L}\p{N}]+"
 PARAGRAPH = r"\n[ \t\r]*\n"
 # Stands between paragraphs while a whole text is brought to its form; a text's own ones
 # become a point, which is as little a letter or digit.
 MARK = "\x01"
 
 
+# Words that make of "copyright" no notice; words that a title before a notice, and the
+# notice itself with all its holders, may have.
+NO_NOTICE = "notice|notices|holder|holders|owner|owners|law|laws|license|licenses|statement|statements"
+TITLE_WORDS, NOTICE_WORDS, OPENING_WORDS = 12, 100, 8
+
+
+def openings(known: list[tuple[str, str]] = KNOWN) -> list[str]:
+    """The first words of the known texts in canonical form, but for those that begin with a
+    notice of their own."""
+    first = set()
+    for _, text in known:
+        words = re.sub(r"[\W_]+", " ", text.lower()).split()[:2 * OPENING_WORDS]
+        form = " ".join([dict(EQUIVALENT).get(w, w) for w in words]).split()[:OPENING_WORDS]
+        if form and form[0] not in ("copyright", "c"):
+            first.add(" ".join(form))
+    return sorted(first)
+
+
+# A title, a notice, and behind it the opening of a known text.
+NOTICE = (rf"^((?>(?:\S+ ){{0,{TITLE_WORDS}}}?(?=copyright (?!(?:{NO_NOTICE}) )|c (?:19|20)\d\d )))"
+          rf"\S+ (?:\S+ ){{0,{NOTICE_WORDS}}}?(?=(?:{'|'.join(openings())})(?: |$))")
+
+
 def worded(text: Column) -> Column:
-    """Lower-case words of a text, each between two spaces of its own, without copyright
-    lines; line ends stay and paragraphs are parted by MARK."""
+    """Lower-case words of a text, each between two spaces of its own; line ends stay and
+    paragraphs are parted by MARK."""
     marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(".")), PARAGRAPH, f"\n{MARK}\n")
-    plain = F.regexp_replace(F.lower(marked), COPYRIGHT_LINE, "")
+    plain = F.replace(F.lower(marked), F.lit("©"), F.lit(" c "))
     words = F.regexp_replace(plain, r"[^\p{L}\p{N}\n\x01]+", "  ")
     return F.concat(F.lit("  "), F.replace(words, F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
 
@@ -144,9 +166,16 @@ def tidy(form: Column) -> Column:
     return F.trim(F.regexp_replace(form, r"[ \n\x01]+", " "))
 
 
+def without_notice(form: Column) -> Column:
+    """A ``tidy`` text without the notice before its opening. The words of the notice are
+    looked for at the beginning alone, so a licence that speaks of copyright keeps its own."""
+    return F.when(F.rlike(form, F.lit(rf"^(?:\S+ ){{0,{TITLE_WORDS}}}(?:copyright|c) ")),
+                  F.regexp_replace(form, NOTICE, "$1")).otherwise(form)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a licence text; null stays null."""
-    return tidy(spelled(worded(text)))
+    return without_notice(tidy(spelled(worded(text))))
 
 
 def digest(text: Column) -> Column:
@@ -165,6 +194,8 @@ def licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
     text is, all licences of its units in order joined by commas, and the number of units
     that are one.
 
+    A copyright notice, with or without a title before it, is no part of a licence where a
+    known text opens behind it, however the lines are broken; other words of a text count.
     Null, empty and wordless texts have no licence: empty forms are never looked up. The
     result of a row depends on its text alone, so units are gathered by id and text hash;
     repeated rows get the same result each. An empty table gives an empty result.
@@ -178,6 +209,7 @@ def licenses(documents: DataFrame, known: DataFrame) -> DataFrame:
     units = F.concat(F.array("form"), F.split("form", MARK), F.split("form", "\n"))
     found = (forms.select("doc_id", "h", F.posexplode(units).alias("at", "unit"))
              .select("doc_id", "h", "at", tidy(F.col("unit")).alias("form")).where("form <> ''")
+             .withColumn("form", without_notice(F.col("form")))
              .select("doc_id", "h", (F.col("at") == 0).alias("is_whole"),
                      F.sha2("form", 256).alias("digest"))
              .join(known, "digest"))

@@ -203,28 +203,51 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(column: str) -> str:
-    """SQL for the canonical form, over the same fixed patterns and spellings."""
-    form = (f"'  ' || regexp_replace(regexp_replace(lower({column}), "
-            f"{_quoted(licenses.COPYRIGHT_LINE)}, '', 'g'), {_quoted(licenses.OTHER)}, '  ', 'g') || '  '")
+def _words(column: str) -> str:
+    """SQL for the words of a text in lower case, one spelling each, between single blanks."""
+    form = (f"'  ' || regexp_replace(replace(lower({column}), '©', ' c '), "
+            "'[^\\p{L}\\p{N}]+', '  ', 'g') || '  '")
     for variant, standard in licenses.EQUIVALENT:
         form = f"replace({form}, ' {variant} ', ' {standard} ')"
     return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
 
 
+def _without_notice(rows: str, form: str, keep: str) -> str:
+    """SQL that adds to ``rows`` the column ``clean``: the list of words is searched for the
+    first notice within 13 words, and from there on for the nearest opening of a known text
+    within 100 words; what lies between is cut out."""
+    return f"""
+  SELECT {keep}, CASE WHEN start IS NULL OR stop IS NULL THEN {form}
+         ELSE trim(array_to_string(w[1:start - 1], ' ') || ' ' || array_to_string(w[stop:], ' ')) END AS clean
+  FROM (
+    SELECT *, list_filter(range(start + 1, least(start + 102, len(w) + 1)), lambda i:
+        len(list_filter(o, lambda x: starts_with(array_to_string(w[i:i + 7], ' ') || ' ', x || ' '))) > 0)[1] AS stop
+    FROM (
+      SELECT *, list_filter(range(1, least(14, len(w) + 1)), lambda i:
+          (w[i] = 'copyright' AND w[i + 1] IS NOT NULL AND NOT regexp_full_match(w[i + 1],
+             '(notice|holder|owner|law|license|statement)s?'))
+          OR (w[i] = 'c' AND regexp_full_match(coalesce(w[i + 1], ''), '(19|20)[0-9][0-9]')))[1] AS start
+      FROM (SELECT *, string_split({form}, ' ') AS w FROM {rows}, (SELECT list(o) AS o FROM opens))))"""
+
+
 OP8 = f"""
-WITH known AS (
-  SELECT digest, min(id) AS license_id FROM (
-    SELECT id, sha256({_canonical('t')}) AS digest FROM (VALUES
-      {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.KNOWN)}) AS k(id, t)) GROUP BY digest),
+WITH texts AS (
+  SELECT id, {_words('t')} AS form FROM (VALUES
+    {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in licenses.KNOWN)}) AS k(id, t)),
+opens AS (
+  SELECT DISTINCT array_to_string(string_split(form, ' ')[1:8], ' ') AS o FROM texts
+  WHERE NOT regexp_matches(form, '^(copyright|c) ')),
+bare AS ({_without_notice('texts', 'form', 'id')}),
+known AS (SELECT sha256(clean) AS digest, min(id) AS license_id FROM bare GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 u AS (
   SELECT rid, text AS unit, TRUE AS is_whole FROM d WHERE text IS NOT NULL
   UNION ALL SELECT rid, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')), FALSE FROM d
   UNION ALL SELECT rid, unnest(string_split(text, chr(10))), FALSE FROM d),
-f AS (SELECT rid, is_whole, {_canonical('unit')} AS form FROM u),
-m AS (SELECT rid, is_whole, digest, license_id FROM f JOIN known ON digest = sha256(form)
-      WHERE form <> ''),
+f AS (SELECT rid, is_whole, {_words('unit')} AS form FROM u),
+e AS ({_without_notice('f', 'form', 'rid, is_whole')}),
+m AS (SELECT rid, is_whole, digest, license_id FROM e JOIN known ON digest = sha256(clean)
+      WHERE clean <> ''),
 g AS (SELECT rid, max(license_id) FILTER (is_whole) AS whole_license,
              string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS licenses,
              count(DISTINCT digest) AS n_units FROM m GROUP BY rid)

@@ -22,9 +22,13 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def order_key(doc_id: Column, seed: int) -> Column:
-    """40 bits of the digest of (seed, doc_id); null ids share one value."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def order_key(doc_id: Column, seed: int, text: Column | None = None) -> Column:
+    """40 bits of the digest of (seed, doc_id) and, where given, of the text; null ids share
+    one value."""
+    parts = [F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))]
+    if text is not None:
+        parts += [F.lit(":"), F.md5(F.coalesce(text, F.lit("")))]
+    text = F.concat(*parts)
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -103,11 +107,11 @@ def cuts(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     return found.withColumnRenamed("prefix", "cut")
 
 
-def sized(documents: DataFrame, seed: int) -> DataFrame:
+def sized(documents: DataFrame, seed: int, by_text: bool = False) -> DataFrame:
     """(doc_id, source, size, key) of every row, written once for the passes that follow."""
     return stored(pick(documents, "doc_id", "text", "source").select(
         "doc_id", "source", words_of(F.col("text")).alias("size"),
-        order_key(F.col("doc_id"), seed).alias("key")), "sizes")
+        order_key(F.col("doc_id"), seed, F.col("text") if by_text else None).alias("key")), "sizes")
 
 
 def cycled_weights(sizes: DataFrame, weights: list[int]) -> DataFrame:
@@ -150,13 +154,14 @@ def mixed(documents: DataFrame, weights: list[int], budget_share: float, max_epo
     """The rows of the mix, with the columns of ``documents``: each row as often as it is
     taken. A partial repetition counts as whole from half of the text on. Texts are never
     cut, so an empty text, which has no words to take, follows its source's whole epochs,
-    at least once."""
-    rows = sized(documents, seed)
+    at least once. Rows are ordered by id and text, so that only rows equal in both are tied:
+    a source whose ids are null or repeated meets its target too."""
+    rows = sized(documents, seed, by_text=True)
     found = cuts(rows, plan(rows, cycled_weights(rows, weights), budget_share, max_epochs))
     plain, names, at = numbered(documents)
     out = _takes(plain.withColumn("source", F.col(at["source"]))
                  .withColumn("size", words_of(F.col(at["text"])))
-                 .withColumn("key", order_key(F.col(at["doc_id"]), seed)), found)
+                 .withColumn("key", order_key(F.col(at["doc_id"]), seed, F.col(at["text"]))), found)
     times = F.when(F.col("size") == 0, F.greatest(F.lit(1), F.col("whole"))).otherwise(
         F.col("whole") + (F.col("part") * 2 >= F.col("size")).cast("int")).cast("int")
     return (out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times)))

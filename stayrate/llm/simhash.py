@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm.common import (cells, deal, local_roots, map_arrow, numbered, pick, runs,
@@ -189,21 +189,31 @@ def kept_documents(documents: DataFrame, **settings) -> DataFrame:
 
 
 def grouped(documents: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, h, root) of every row: ``h`` is the text's hash, ``root`` names its group."""
-    texts = pick(documents, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    """(doc_id, h, root) of every row: ``h`` is the text's digest, ``root`` names its group."""
+    texts = pick(documents, "doc_id", "text").withColumn("h", text_digest(F.col("text")))
     signed = stored(with_fingerprints(texts, shingle, seed), "signed")
     roots = stored(components(links(signed.select("fp").distinct(), radius)), "roots")
     return signed.join(roots, F.col("fp") == F.col("node"), "left").select(
         "doc_id", "h", F.coalesce("root", "fp").alias("root"))
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits, so that no two texts of even very large tables are taken for one."""
+    return F.md5(F.when(text.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), text)))
+
+
+def row_digest(doc_id: Column, h: Column) -> Column:
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")),
+                          F.lit("\n"), h))
+
+
 def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """One row of each group: that of the smallest doc_id and, among its texts, the smallest
-    text hash; a row without an id only where no row of the group has one. ``groups`` holds
+    text digest; a row without an id only where no row of the group has one. ``groups`` holds
     ``doc_id``, ``h`` and ``root`` of every row.
 
-    Only hashes of the rows that go, or that are repeated, are joined with the documents;
-    texts are shuffled where Spark finds those hashes too many to broadcast.
+    Only digests of the rows that go, or that are repeated, are joined with the documents;
+    texts are shuffled where Spark finds those digests too many to broadcast.
     """
     rows = stored(groups.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "rows")
     first = stored(rows.groupBy("root").agg(F.min(F.struct(
@@ -212,10 +222,11 @@ def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
                 F.col("first.h").alias("f_h")), "first")
     kept = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
     flags = stored(rows.join(first, F.col("root") == F.col("g")).select(
-        F.xxhash64("doc_id", "h").alias("row"), "n", kept.alias("kept"))
+        row_digest(F.col("doc_id"), F.col("h")).alias("row"), "n", kept.alias("kept"))
         .where("not kept or n > 1"), "flags")
     plain, names, at = numbered(documents)
-    keyed = plain.withColumn("row", F.xxhash64(at["doc_id"], F.xxhash64(at["text"])))
+    keyed = plain.withColumn("row", row_digest(
+        F.col(at["doc_id"]), text_digest(F.col(at["text"]))))
     gone = stored(flags.where("not kept").select("row"), "gone")
     out = keyed.join(gone, "row", "left_anti")
     repeated = stored(flags.where("kept").select("row"), "repeated")

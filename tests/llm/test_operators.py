@@ -3,15 +3,18 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from stayrate.llm import (common, components, decontaminate, embeddings, jaccard, licenses, mixing, quality,
+from stayrate.llm import (common, components, decontaminate, embeddings, licenses, mixing, quality,
                           queries, sharding, simhash, substrings, tokens, toxicity)
 from tests.compare import difference, duck
 
@@ -48,7 +51,7 @@ def test_statements(spark, sf_dir, name):
 
 
 def test_all_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
@@ -130,55 +133,10 @@ def test_rows_without_id_and_repeated_ids_are_kept_by_row(spark):
     rows = [(None, lone), (1, text), (None, near), (None, text), (2, other), (2, text), (2, other),
             (None, lone)]
     want = sorted([(1, text), (2, other), (None, lone)], key=str)
-    for groups in (simhash.grouped, jaccard.near_duplicates):
-        kept = simhash.one_per_group(documents(spark, rows), groups(documents(spark, rows)))
-        assert sorted([(r[0], r[1]) for r in kept.collect()], key=str) == want
     assert sorted([(r[0], r[1]) for r in simhash.kept_documents(documents(spark, rows)).collect()],
                   key=str) == want
 
 
-# --- near-duplicates by Jaccard similarity ------------------------------------------------
-
-def plain_jaccard_pairs(texts):
-    grams = {}
-    for i, t in texts:
-        w = (t or "").lower().split()
-        grams[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    return [(a, b) for a in grams for b in grams if a < b and 5 * len(grams[a] & grams[b]) >=
-            4 * max(1, len(grams[a] | grams[b]))]
-
-
-def test_pipeline_near_dedup_agrees_with_brute_force_jaccard(spark, corpus):
-    import corpus_pipeline
-    rng = random.Random(21)
-    texts = [(i, t) for i, t in corpus if t and t.split()]
-    for i in range(60):  # near copies on both sides of the threshold
-        words = prose(rng, rng.randrange(60, 300)).split()
-        for k in range(3):
-            changed = words[:]
-            for at in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(1, 5) // 100)):
-                changed[at] = "changed"
-            texts.append((100_000 + 10 * i + k, " ".join(changed)))
-    pairs = plain_jaccard_pairs(texts)
-    root = plain_components([i for i, _ in texts], pairs)
-    fps = {i: plain_fingerprint(t) for i, t in texts}
-    assert any(bin(fps[a] ^ fps[b]).count("1") > 3 for a, b in pairs)
-    got = corpus_pipeline.drop_near_copies(spark, documents(spark, texts), "").collect()
-    assert sorted(r[0] for r in got) == sorted(set(root.values()))
-
-
-def test_jaccard_links_over_split_buckets(spark):
-    rng = random.Random(22)
-    words = prose(rng, 300).split()
-    texts = [(i, " ".join(words[:i] + ["changed"] + words[i + 1:])) for i in range(40)]
-    rows = documents(spark, texts)
-    signed = jaccard.with_sets(common.pick(rows, "doc_id", "text").withColumn("h", F.xxhash64("text")))
-    found = jaccard.links(signed, common.pick(rows, "doc_id", "text").withColumn("h", F.xxhash64("text")),
-                          chunk=1000)
-    assert components.components(found).select("root").distinct().count() == 1
-    assert components.components(found).count() == 39
-
-
 # --- components ---------------------------------------------------------------------------
 
 def test_components(spark):
@@ -505,6 +463,69 @@ def test_whole_standard_texts(spark):
                                             103: "BSD-3-Clause", 104: None}
 
 
+def rewrapped(text, width):
+    """Each paragraph's words in lines of ``width`` columns; all on one line without a width."""
+    if not width:
+        return " ".join(text.split())
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in re.split(licenses.PARAGRAPH, text))
+
+
+def test_whole_texts_in_any_layout(spark):
+    from pathlib import Path
+    folder = Path(licenses.__file__).parent / "license_texts"
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+    assert len(texts) == 13
+    texts += [(i, t) for i, t in licenses.KNOWN if len(t) > 500 and i in ("MIT", "ISC", "BSD-3-Clause")]
+    notices = ["", "Copyright (c) 2021 Someone and others, Inc.\n", "Copyright 2019-2021 A. Writer <a@b.c>\n\n",
+               "© 2020 The Holders\n(C) 2021 Other Holder. All rights reserved.\n\n"]
+    rows, want = [], {}
+    for name, text in texts:
+        for width in [0, *range(50, 101, 5)]:
+            for notice in notices:
+                want[len(rows)] = name
+                rows.append((len(rows), notice + rewrapped(text, width)))
+    got = {r.doc_id: r.whole_license for r in licenses.licenses(
+        documents(spark, rows), licenses.registry(spark)).collect()}
+    assert {i: (want[i], got[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_body_words_stay_and_notices_go(spark):
+    mit, opening = licenses.KNOWN[-1][1], "permission is hereby granted free of charge to"
+    forms = [("Copyright notice and this permission is hereby granted free of charge to all", None),
+             ("(c) You must retain, in the Source form", "c you must retain in the source form"),
+             ("MIT License\nCopyright (c) 2020 X\nPermission is hereby granted, free of charge, to",
+              "mit license " + opening),
+             ("copyright holders be liable for any claim", None), ("Copyright 2020 Someone", None),
+             ("Copyright " + "x " * 101 + opening, None), ("Copyright " + "x " * 100 + opening, opening),
+             ("t " * 13 + "copyright 2020 x " + opening, None),
+             ("t " * 12 + "copyright 2020 x " + opening, "t " * 12 + opening)]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(forms)], "i int, t string")
+    got = {r.i: r.f for r in frame.select("i", licenses.canonical(F.col("t")).alias("f")).collect()}
+    for i, (text, form) in enumerate(forms):
+        assert got[i] == (form or " ".join(re.sub(r"[\W_]+", " ", text.lower()).split()))
+    cut = mit.replace("copyright holders be liable", "be liable").replace("COPYRIGHT HOLDERS BE LIABLE", "BE LIABLE")
+    rows = documents(spark, [(1, cut), (2, mit + "\nCopyright 2020 Someone")])
+    assert all(r.whole_license is None for r in licenses.licenses(rows, licenses.registry(spark)).collect())
+
+
+def test_license_statement_on_notices(spark, tmp_path):
+    from pathlib import Path
+    folder = Path(licenses.__file__).parent / "license_texts"
+    gpl, mit = (folder / "GPL-2.0.txt").read_text(), licenses.KNOWN[-1][1]
+    opening = "permission is hereby granted free of charge to"
+    texts = ["Copyright 2020 A\n" + rewrapped(gpl, 66), "MIT License\n\n© 2020 B " + rewrapped(mit, 0), rewrapped(mit, 40),
+             "Copyright 2020 " + "x " * 99 + mit, "Copyright 2020 " + "x " * 100 + mit, "copyright law " + mit,
+             "(c) 1999 C\nReleased under the MIT licence.", "prose\nCopyright 2020 D. Licensed under CC BY 4.0.\n\nend",
+             "copyright", "c 2020", "copyright c 2020 copyright notice " + opening, None, ""]
+    frame = documents(spark, list(enumerate(texts)))
+    common.pick(frame, "doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = licenses.licenses(frame, licenses.registry(spark))
+    assert difference(got, con, queries.OP8) is None
+    assert {r.doc_id for r in got.collect() if r.whole_license} == {0, 1, 2, 3, 6}
+
+
 def test_license_units_are_cut_as_if_each_stood_alone(spark):
     texts = ["a licence licence, b\n(c) 2020 someone\nc\n \t\r\nCopyright x\n\nd\n\n\ne whilst",
              "\x01one\x01\n\x01\ntwo\n\nthree\r\n\r\nfour", "\n\n(C) y\nonly line\n",
@@ -591,19 +612,115 @@ def test_sharding_weights_and_odd_rows(spark):
 
 # --- pipeline and helpers -----------------------------------------------------------------
 
-def test_pipeline(spark, sf_dir, corpus):
+def plain_quality(spark, docs, labels):
+    """Weights, knots and values of the quality model by dense linear algebra."""
+    text = {}
+    for r in docs.select("doc_id", "text").collect():
+        text.setdefault(r.doc_id, []).append((r.text or "").encode())
+    y = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            y.setdefault(r.doc_id, []).append(r.quality)
+    known = sorted(set(text) & set(y))
+    place = {r.doc_id: r.p for r in spark.createDataFrame([(i,) for i in known], "doc_id bigint").select(
+        "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(5)).alias("p")).collect()}
+    rows = [(quality.statistics(t), np.mean(y[i]), place[i] == 0) for i in known for t in text[i]]
+    x, y, out = (np.array(v) for v in zip(*rows))
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1
+    z = quality.fourier(x, mean, scale)
+    fit = z[~out]
+    penalty = np.full(fit.shape[1], quality.RIDGE * len(fit))
+    penalty[-1] = 1e-9
+    weights = np.linalg.lstsq(np.concatenate([fit, np.diag(np.sqrt(penalty))]),
+                              np.concatenate([y[~out], np.zeros(len(penalty))]), rcond=None)[0]
+    raw = z[out] @ weights
+    at = np.floor(np.clip(raw, 0, 1) * quality.BINS)
+    bins = np.unique(at)
+    knots, values = quality.isotonic((bins + 0.5) / (quality.BINS + 1), np.array(
+        [y[out][at == b].sum() for b in bins]), np.array([(at == b).sum() for b in bins], float))
+    return quality.Model(mean, scale, weights, knots, values)
+
+
+def plain_accepted(spark, docs, labels, rows):
+    model = quality.fit(quality.measured(docs), quality.quality_labels(labels))
+    scores = model.scores(np.array([quality.statistics((r[1] or "").encode()) for r in rows]))
+    return [r for r, score in zip(rows, scores) if score >= 0.7]
+
+
+def test_quality_fit_agrees_with_dense_algebra(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = quality.fit(quality.measured(docs), quality.quality_labels(labels))
+    want = plain_quality(spark, docs, labels)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale)
+    assert np.allclose(got.weights, want.weights, rtol=1e-5, atol=1e-7)
+    assert np.allclose(got.knots, want.knots) and np.allclose(got.values, want.values)
+
+
+def plain_stage(name, rows, sf_dir, spark):
+    """Rows that a stage must return, from rows (doc_id, text, source); None where the stage's
+    model decides."""
+    if name == "near_dedup":
+        fps = {r: plain_fingerprint(r[1]) for r in rows}
+        order = sorted(fps, key=lambda r: (r[0] is None, r[0] or 0))
+        root = plain_components(range(len(order)), [
+            (i, j) for j, b in enumerate(order) for i, a in enumerate(order[:j])
+            if bin(fps[a] ^ fps[b]).count("1") <= 3])
+        return [order[i] for i in sorted(set(root.values()))]
+    if name == "decontamination":
+        bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+        word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        low = lambda t: word.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        windows = set()
+        for _, text in bench:
+            w = low(text)
+            windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+        sizes = {len(w) for w in windows}
+        return [r for r in rows if not any(tuple(w[i:i + n]) in windows for w in [low(r[1])]
+                                           for n in sizes for i in range(len(w) - n + 1))]
+    return None
+
+
+def held_to_targets(before, after):
+    """The mix of rows (doc_id, text, source): every row whole, at most twice, and the words of
+    each source within a text of its target."""
+    size = lambda r: len(SPACE.findall(r[1] or ""))
+    copies = Counter(after)
+    assert set(copies) <= set(before) and all(n <= 2 * before.count(r) for r, n in copies.items() if size(r))
+    assert all(r in copies for r in before if not size(r))
+    sources = sorted({r[2] for r in before}, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    own = {s: sum(size(r) for r in before if r[2] == s) for s in sources}
+    targets, budget, open_ = {}, 1.5 * sum(own.values()), set(sources)
+    while open_:
+        level = budget / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * own[s] <= level * weight[s]}
+        targets |= {s: 2 * own[s] if full else level * weight[s] for s in full or open_}
+        budget -= sum(2 * own[s] for s in full)
+        open_ = open_ - full if full else set()
+    for s in sources:
+        took = sum(size(r) for r in after if r[2] == s)
+        assert abs(took - targets[s]) <= max(size(r) for r in before if r[2] == s) + 1
+
+
+def test_pipeline(spark, sf_dir):
     import corpus_pipeline
+    rows_of = lambda d: [(r.doc_id, r.text, r.source) for r in d.collect()]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = common.stored(stage(spark, docs, sf_dir), name)
         assert out.columns == docs.columns
-        before, after = ([(r.doc_id, r.text) for r in d.collect()] for d in (docs, out))
-        assert set(after) <= set(before) and after
-        if name == "near_dedup":
-            fps = {i: plain_fingerprint(t) for i, t in before}
-            root = plain_components(fps, [(a, b) for a in fps for b in fps if a < b
-                                          and bin(fps[a] ^ fps[b]).count("1") <= 3])
-            assert sorted(i for i, _ in after) == sorted(set(root.values()))
+        before, after = rows_of(docs), rows_of(out)
+        if name == "quality":
+            assert sorted(after) == sorted(plain_accepted(spark, docs, labels, before))
+            assert len(after) < len(before)
+        elif name == "mixing":
+            held_to_targets(before, after)
+        else:
+            assert sorted(after) == sorted(plain_stage(name, before, sf_dir, spark))
+            assert len(after) < len(before)
         docs = out
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.columns == [*docs.columns, "shard"]
@@ -613,6 +730,29 @@ def test_pipeline(spark, sf_dir, corpus):
 
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     import corpus_pipeline
-    for rows in (odd_rows(), []):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, documents(spark, rows), sf_dir).count() >= 0
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, documents(spark, []), sf_dir).count() == 0
+    rows = odd_rows()
+    run = lambda name, data=rows: stages[name](spark, documents(spark, data), sf_dir)
+    got = lambda df: sorted(((r[0], r[1]) for r in df.collect()), key=str)
+    ordered = lambda data: sorted(data, key=str)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert got(run("quality")) == ordered(plain_accepted(spark, documents(spark, rows), labels, rows))
+    # Null, empty and blank texts are one group, the repeated line another.
+    assert got(run("near_dedup")) == ordered([(1, None), rows[3], rows[8], rows[9]])
+    assert got(run("decontamination")) == ordered(rows)
+    mixed = got(run("mixing"))
+    assert set(mixed) == set(rows) and {(1, None), (2, ""), (3, " \t\n"), (None, None)} <= set(mixed)
+    placed = run("sharding")
+    assert placed.columns[-1] == "shard" and got(placed) == ordered(rows)
+
+
+def test_mix_of_rows_without_id_meets_the_target(spark):
+    rng = random.Random(31)
+    rows = [(None, prose(rng, rng.randrange(5, 40))) for _ in range(200)] + [
+        (i, prose(rng, rng.randrange(5, 40))) for i in range(200)]
+    sources = {i: "s2" for i in range(200)}
+    data = [(i, t, sources.get(i, "s1")) for i, t in rows]
+    out = mixing.mixed(documents(spark, rows, sources), [3, 1, 2], 1.5, 2, 42).collect()
+    held_to_targets(data, [(r[0], r[1], r[3]) for r in out])

@@ -223,9 +223,20 @@ Customer_Satisfaction_Score NPS_Score Support_Satisfaction Network_Satisfaction
 Billing_Satisfaction Service_Satisfaction Competitor_Considered Competitor_Price_Difference
 Competitor_Service_Rating Competitor_Offer Competitor_Threat_Level Churn Churn_Date Churn_Reason
 Service_Quality_Score Churn_Category""".split()
+
+
+def neutral_type(column: str) -> str:
+    """What a column holds, from the type that this engine gives it."""
+    return f"""CASE WHEN any_value(typeof({column})) IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer'
+      WHEN any_value(typeof({column})) IN ('FLOAT', 'DOUBLE') THEN 'number'
+      WHEN any_value(typeof({column})) LIKE 'DECIMAL%' THEN 'decimal'
+      WHEN any_value(typeof({column})) = 'VARCHAR' THEN 'text'
+      WHEN any_value(typeof({column})) = 'DATE' THEN 'date' ELSE 'other' END"""
+
+
 check("profile_schema", "acct", " UNION ALL ".join(
-    f"SELECT CAST({i} AS BIGINT) AS Position, '{c}' AS Column_Name, count({c}) AS Non_Null FROM acct"
-    for i, c in enumerate(_FULL_COLUMNS, 1)))
+    f"SELECT CAST({i} AS BIGINT) AS Position, '{c}' AS Column_Name, {neutral_type(c)} AS Data_Type, "
+    f"count({c}) AS Non_Null FROM acct" for i, c in enumerate(_FULL_COLUMNS, 1)))
 check("histogram", "account", " UNION ALL ".join(f"""
 SELECT '{c}' AS Column_Name, b AS Bin, round(lo + b * ((hi - lo) / {n}), 6) AS Bin_Start,
   count(*) AS Customers
@@ -400,10 +411,28 @@ _CATS = ("Company_Size", "Industry", "Customer_Type", "Customer_Segment", "State
 check("one_hot", "account", " UNION ALL ".join(
     f"SELECT Customer_ID, '{c}_' || {c} AS Feature FROM account WHERE {c} IS NOT NULL"
     for c in _CATS))
-check("one_hot_unseen", "account", " UNION ALL ".join(
-    f"SELECT Customer_ID, '{c}_' || {c} AS Feature FROM account "
-    f"WHERE {c} IN (SELECT {c} FROM account WHERE Region <> 'ASIA')"
-    for c in ("State", "City", "Region")))
+for name in ("one_hot_unseen", "one_hot_sparse"):
+    check(name, "account", " UNION ALL ".join(
+        f"SELECT Customer_ID, '{c}_' || {c} AS Feature FROM account "
+        f"WHERE {c} IN (SELECT {c} FROM account WHERE Region <> 'ASIA')"
+        for c in ("State", "City", "Region")))
+
+# --- Trained models: what must hold of them, and the sizes that the split gives
+check("model_lr_optimality", "account split", "SELECT '(Intercept)' AS Feature, TRUE AS Is_Optimal" + "".join(
+    f" UNION ALL SELECT '{c}', TRUE" for c in _MODEL if c not in _CATS) + "".join(
+    f" UNION ALL SELECT DISTINCT '{c}_' || {c}, TRUE FROM account JOIN split USING (Customer_ID) "
+    f"WHERE NOT Is_Test AND {c} IS NOT NULL" for c in _CATS))
+check("model_dt_leaves", "split", """
+SELECT count(*) AS Training_Rows, CAST(sum(Churn) AS BIGINT) AS Training_Churned,
+  CAST(count(*) AS DOUBLE) AS Weight, TRUE AS Leaves_Large_Enough, TRUE AS Depth_Allowed
+FROM split WHERE NOT Is_Test""")
+check("model_artifact", "account", "SELECT Customer_ID, TRUE AS Is_Same FROM account")
+check("feature_importance_checked", "account", """
+SELECT r AS Rank, TRUE AS Is_Encoded, TRUE AS Is_Sorted, TRUE AS Is_Non_Negative FROM range(1, 16) t(r)""")
+check("sink_report", "split", """
+SELECT CAST(4 AS BIGINT) AS Models, CAST(15 AS BIGINT) AS Features,
+  count(*) FILTER (NOT Is_Test) AS Train_Rows, count(*) FILTER (Is_Test) AS Test_Rows,
+  TRUE AS Best_Is_First, TRUE AS Features_Sorted FROM split""")
 
 # --- Standard scores and derived scores
 check("zscore", "scored", """

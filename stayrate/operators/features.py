@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,28 +65,46 @@ def numeric_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in schemas.CATEGORICALS]
 
 
-def fit_categories(df: DataFrame, columns: list[str] = schemas.CATEGORICALS,
-                   most: int = 20_000) -> dict[str, list[str]]:
+def fit_categories(df: DataFrame, columns: list[str] = schemas.CATEGORICALS) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column, read in one pass.
 
-    Each value becomes a model column, so a column with more than ``most`` values is an
-    error rather than a truncated encoding.
+    Each value becomes a model column, so these lists are as long as a model of the columns
+    is wide; that is all the driver holds.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
                                for c in columns]))
-    distinct = df.select(pairs).filter(F.col("v").isNotNull()).distinct()
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in distinct.limit(most + 1).collect():
+    for row in df.select(pairs).filter(F.col("v").isNotNull()).distinct().collect():
         found[row["c"]].append(row["v"])
-    if sum(map(len, found.values())) > most:
-        raise ValueError(f"more than {most} categories; these columns are not categorical")
     return {c: sorted(values) for c, values in found.items()}
 
 
+def category_indexes(categories: dict[str, list[str]]) -> list[StringIndexerModel]:
+    """A fitted index of the known values of each column that has any. All other values share
+    one further index, the last."""
+    return [StringIndexerModel.from_labels(values, inputCol=c, outputCol=f"_index_{c}", handleInvalid="keep")
+            for c, values in categories.items() if values]
+
+
+def one_hot_vectors(df: DataFrame, indexes: list[StringIndexerModel]) -> tuple[DataFrame, list[str]]:
+    """``df`` with one sparse 0/1 vector per indexed column, an entry for each known value in
+    order, and the vectors' names. Unseen and null values give all zeros."""
+    if not indexes:
+        return df, []
+    for index in indexes:
+        df = index.transform(df)
+    inputs = [index.getOutputCol() for index in indexes]
+    flags = [f"_flags_{index.getInputCol()}" for index in indexes]
+    # The index of unknown values, being the last, has no entry.
+    encoder = OneHotEncoder(inputCols=inputs, outputCols=flags, dropLast=True).fit(df)
+    return encoder.transform(df).drop(*inputs), flags
+
+
 def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     """Replace each column by one 0/1 column per known category.
 
-    Unseen and null values give all zeros.
+    Unseen and null values give all zeros. For more categories than a table has columns,
+    see ``one_hot_vectors``.
     """
     encoded = [F.when(F.col(c) == v, 1.0).otherwise(0.0).alias(f"{c}_{v}")
                for c, values in categories.items() for v in values]

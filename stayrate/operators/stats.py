@@ -52,12 +52,26 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return simple.join(quartiles, "metric", "left").withColumnRenamed("metric", "Column_Name")
 
 
+# What a column holds, whichever engine names the type.
+NEUTRAL_TYPES = {
+    **dict.fromkeys(("tinyint", "smallint", "int", "bigint"), "integer"),
+    **dict.fromkeys(("float", "double"), "number"),
+    **dict.fromkeys(("timestamp", "timestamp_ntz"), "time"),
+    "decimal": "decimal", "string": "text", "date": "date", "boolean": "flag"}
+
+
+def neutral_type(simple: str) -> str:
+    """The neutral name of a simple type string; others keep the name without parameters."""
+    family = simple.partition("(")[0].partition("<")[0]
+    return NEUTRAL_TYPES.get(family, family)
+
+
 def profile_schema(df: DataFrame) -> DataFrame:
-    """Position, name, type and non-null count of every column."""
+    """Position, name, neutral type and non-null count of every column."""
     counted = df.agg(*[F.count(c).alias(c) for c in df.columns])
     return counted.select(F.inline(F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("Position"), F.lit(f.name).alias("Column_Name"),
-                 F.lit(f.dataType.simpleString()).alias("Data_Type"),
+                 F.lit(neutral_type(f.dataType.simpleString())).alias("Data_Type"),
                  F.col(f.name).alias("Non_Null"))
         for i, f in enumerate(df.schema.fields, 1)])))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,7 +238,7 @@ on_accounts("value_counts", lambda a: eda.value_counts(a, {
     "Churn": None}))
 on_accounts("class_balance", eda.class_balance)
 on_accounts("describe_numeric", lambda a: stats.describe(a, schemas.KEY_NUMERIC))
-on_accounts("profile_schema", lambda a: stats.profile_schema(a).drop("Data_Type"))
+on_accounts("profile_schema", stats.profile_schema)
 on_accounts("histogram", lambda a: stats.histogram(
     a, {"Network_Uptime": 40, "Customer_Satisfaction_Score": 20}))
 on_accounts("boxplot_stats", lambda a: stats.boxplot(
@@ -299,7 +300,7 @@ on_accounts("features", lambda a: features.engineer(a).select(
 @query("feature_columns")
 def feature_columns(spark, sf_dir):
     """The model input columns and how many accounts have a value in each."""
-    return stats.profile_schema(features.model_columns(full_account(spark, sf_dir))).drop("Data_Type")
+    return stats.profile_schema(features.model_columns(full_account(spark, sf_dir)))
 
 
 def _ones(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
@@ -325,6 +326,19 @@ def one_hot_unseen(spark, sf_dir):
     return _ones(accounts, features.fit_categories(known, ["State", "City", "Region"]))
 
 
+@query("one_hot_sparse")
+def one_hot_sparse(spark, sf_dir):
+    """The same cells read off the sparse vectors that models are given."""
+    accounts = staging.account(spark, sf_dir)
+    known = features.fit_categories(accounts.filter(F.col("Region") != "ASIA"), ["State", "City", "Region"])
+    encoded, vectors = features.one_hot_vectors(accounts, features.category_indexes(known))
+    cells = F.concat(*[vector_to_array(v) for v in vectors])
+    names = F.array(*map(F.lit, features.encoded_names(known)))
+    flagged = F.filter(F.arrays_zip(cells.alias("cell"), names.alias("name")), lambda x: x["cell"] == 1)
+    return encoded.select("Customer_ID", F.explode(flagged).alias("f")).select(
+        "Customer_ID", F.col("f.name").alias("Feature"))
+
+
 # --- Standard scores and derived scores ----------------------------------------------------
 
 on_accounts("zscore", lambda a: a.select("Customer_ID", *[
@@ -540,6 +554,48 @@ def sink_metrics(spark, sf_dir):
             .select(F.inline("models")))
 
 
+@query("sink_report")
+def sink_report(spark, sf_dir):
+    """The whole written report read back: sizes, and whether its parts fit together."""
+    path = new_folder(spark, "report")
+    files.write_report(spark, _selected(spark, sf_dir).report, path)
+    figures = T.ArrayType(_comparison(spark, sf_dir).schema)
+    schema = T.StructType([T.StructField("models", figures)] + T.StructType.fromDDL(
+        "best_model STRING, top_features ARRAY<STRUCT<Feature: STRING, Importance: DOUBLE>>, "
+        "train_rows BIGINT, test_rows BIGINT").fields)
+    sizes = F.col("top_features.Importance")
+    return spark.read.schema(schema).json(path).select(
+        F.size("models").cast("bigint").alias("Models"), F.size("top_features").cast("bigint").alias("Features"),
+        F.col("train_rows").alias("Train_Rows"), F.col("test_rows").alias("Test_Rows"),
+        ((F.col("models")[0]["Model"] == F.col("best_model"))
+         & (F.col("models")[0]["ROC_AUC"] == F.array_max("models.ROC_AUC"))
+         & (F.size(F.filter("models", lambda m: m["Selected"])) == 1)).alias("Best_Is_First"),
+        (sizes == F.sort_array(sizes, asc=False)).alias("Features_Sorted"))
+
+
+@query("model_lr_optimality")
+def model_lr_optimality(spark, sf_dir):
+    """Whether each coefficient of the logistic model is at the optimum of its objective."""
+    run = _training(spark, sf_dir)
+    return run.models[models.LOGISTIC].optimality(run.train).select("Feature", "Is_Optimal")
+
+
+@query("model_dt_leaves")
+def model_dt_leaves(spark, sf_dir):
+    """The leaves of the decision tree: together all training rows, each within its limits."""
+    run = _training(spark, sf_dir)
+    leaves = run.models[models.TREE].leaves(run.train)
+    return leaves.agg(F.sum("Rows").alias("Training_Rows"), F.sum("Churned").alias("Training_Churned"),
+                      F.round(F.sum("Weight"), 6).alias("Weight"),
+                      (F.min("Rows") >= 25).alias("Leaves_Large_Enough"),
+                      (F.max("Depth") <= 8).alias("Depth_Allowed"))
+
+
+@query("feature_importance_checked")
+def feature_importance_checked(spark, sf_dir):
+    return _selected(spark, sf_dir).encoded_importance(spark).drop("Feature", "Importance")
+
+
 query("feature_importance")(lambda spark, sf_dir: _selected(spark, sf_dir).importance(spark))
 query("score_model")(lambda spark, sf_dir: scoring.export(retention.score_with_model(
     full_account(spark, sf_dir), _selected(spark, sf_dir))))
@@ -554,6 +610,15 @@ def model_roundtrip(spark, sf_dir):
     return loaded.score(full_account(spark, sf_dir)).select("Customer_ID", "Churn_Probability")
 
 
+@query("model_artifact")
+def model_artifact(spark, sf_dir):
+    """Whether each account's probability is the same after saving and loading the model."""
+    folder = new_folder(spark, "model")
+    model = _selected(spark, sf_dir)
+    model.save(spark, folder)
+    return model.differences(models.ChurnModel.load(spark, folder), full_account(spark, sf_dir))
+
+
 query("score_profiles_model")(lambda spark, sf_dir: profiles.score_profiles(
     _profile_inputs(spark, sf_dir), _selected(spark, sf_dir)).select(
     "Profile_ID", "Churn_Probability", "Risk_Category", "Main_Risk_Factors", "Recommended_Action"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayrate.functions import measures, rules
-from stayrate.operators import features, filters, profiles, scoring, whatif
+from stayrate.operators import features, filters, profiles, scoring, stats, whatif
 from stayrate.operators.scorecard import Scorecard
 from stayrate.plans import bi, reports
 from tests.frames import accounts, column
@@ -126,10 +126,28 @@ def test_one_hot_unseen_and_null_give_zeros(spark):
     assert column(coded, "State_S2") == [0.0, 0.0, 0.0]
 
 
-def test_too_many_categories_is_an_error(spark):
-    df = accounts(spark, [{"State": "a"}, {"State": "b"}])
-    with pytest.raises(ValueError):
-        features.fit_categories(df, ["State"], most=1)
+def test_one_hot_vectors_equal_the_wide_form(spark):
+    known = {"State": ["S1", "S2"], "City": [], "Region": ["R"]}
+    rows = [{"State": s, "City": "c", "Region": r} for s in ("S1", "S2", "other", None) for r in ("R", None, "")]
+    df = accounts(spark, rows)
+    coded, vectors = features.one_hot_vectors(df, features.category_indexes(known))
+    assert coded.columns[:len(df.columns)] == df.columns and len(vectors) == 2
+    got = [[*r[0].toArray(), *r[1].toArray()] for r in coded.orderBy("Customer_ID").select(*vectors).collect()]
+    wide = features.one_hot(df.select("Customer_ID", *known), known).orderBy("Customer_ID")
+    assert got == [[r[f] for f in features.encoded_names(known)] for r in wide.collect()]
+    assert features.one_hot_vectors(df, features.category_indexes({"State": []})) == (df, [])
+
+
+def test_categories_without_limit(spark):
+    df = spark.range(100_000).select(F.concat(F.lit("v"), "id").alias("State"))
+    found = features.fit_categories(df, ["State"])["State"]
+    assert len(found) == 100_000 and found == sorted(found)
+
+
+def test_neutral_types():
+    assert [stats.neutral_type(t) for t in ("int", "bigint", "decimal(14,2)", "double", "string", "date",
+                                            "array<int>")] == [
+        "integer", "integer", "decimal", "number", "text", "date", "array"]
 
 
 def test_what_if(spark):

@@ -118,6 +118,13 @@ def deal(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.repartition(width, *by).sortWithinPartitions(*order)
 
 
+def deal_numbered(df: DataFrame, number: str) -> DataFrame:
+    """Rows sorted by ``number``, an integer from 0 on, and dealt by it: consecutive numbers go
+    to consecutive partitions, so that as many of them as there are fill all evenly."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(width, number).sortWithinPartitions(number)
+
+
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the links i-j."""
     root = np.arange(n)

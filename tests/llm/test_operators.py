@@ -223,9 +223,112 @@ def test_passage_whose_seeds_an_earlier_text_holds_in_part(spark):
 def test_substrings_odd_rows(spark):
     assert substrings.passages(documents(spark, odd_rows())).count() == 0
     assert substrings.passages(documents(spark, [])).count() == 0
-    repeated = [(7, "word " * 4000), (8, "word " * 4000), (8, "word " * 4000), (None, "word " * 4000)]
-    assert {(r.doc_id, r.ref_doc_id) for r in
-            substrings.passages(documents(spark, repeated)).collect()} <= {(8, 7)}
+    repeated = [(7, "word " * 4000), (8, "word " * 4000), (8, "word " * 4000), (None, "word " * 4000),
+                (9, "word " * 49)]
+    assert [tuple(r) for r in substrings.passages(documents(spark, repeated)).collect()] == [
+        (8, 0, 4000, 7, 0, 4000, 4000, 1.0)]
+
+
+def test_copies_of_one_repeated_line(spark):
+    rng = random.Random(41)
+    line = prose(rng, 12) + "\n"
+    rows = [(1, line * 20), (2, line * 20), (3, prose(rng, 70) + " " + line * 30 + prose(rng, 40)),
+            (4, line * 4), (5, prose(rng, 30) + " " + line * 6)]
+    found = {(r.doc_id, r.start_word, r.end_word) for r in substrings.passages(documents(spark, rows)).collect()}
+    assert (2, 0, 240) in found and (5, 30, 102) in found
+    assert any(d == 3 and a <= 82 and b >= 290 for d, a, b in found) and not any(d == 4 for d, _, _ in found)
+
+
+def test_passage_of_lines_that_other_texts_hold(spark):
+    rng = random.Random(42)
+    one, two, three = (prose(rng, 25) for _ in range(3))
+    rows = [(1, prose(rng, 40) + " " + one + " " + prose(rng, 40)), (2, two + " " + prose(rng, 60)),
+            (3, prose(rng, 50) + " " + three), (4, one + " " + two + " " + three + " " + prose(rng, 20)),
+            (5, prose(rng, 33) + " " + two), (6, prose(rng, 31) + " " + one + " " + three + " " + prose(rng, 9)),
+            (7, prose(rng, 30) + " " + one + " " + two + " " + three)]
+    found = {(r.doc_id, r.ref_doc_id): (r.start_word, r.end_word, r.identity)
+             for r in substrings.passages(documents(spark, rows)).collect()}
+    assert found == {(7, 4): (30, 105, 1.0)}
+
+
+def changed_words(rng, words, share, kinds):
+    out = words[:]
+    for at in sorted(rng.sample(range(len(words)), round(len(words) * share)), reverse=True):
+        kind = rng.choice(kinds)
+        if kind == "less":
+            del out[at]
+        else:
+            out[at:at + (kind == "other")] = [f"x{rng.randrange(10 ** 6)}"]
+    return out
+
+
+def test_fuzzy_passages_against_brute_force(spark):
+    """Planted passages of 50 to 120 words at identity 0.8 to 0.95 are found at 0.9 at least, and
+    whatever is found is as alike as it says by the whole alignment table."""
+    rng = random.Random(43)
+    rows, planted = [], {}
+    for length in (50, 60, 80, 120):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            for kinds in (["other"], ["other", "more", "less"]):
+                for _ in range(12):
+                    i, words = len(rows), prose(rng, length).split()
+                    other = changed_words(rng, words, share, kinds)
+                    before = prose(rng, rng.randrange(100))
+                    rows += [(i, f"{prose(rng, rng.randrange(90))} {' '.join(words)} {prose(rng, rng.randrange(90))}"),
+                             (i + 1, f"{before} {' '.join(other)} {prose(rng, rng.randrange(90))}")]
+                    planted[i + 1] = (i, len(before.split()), len(before.split()) + len(other))
+    rows += [(len(rows) + k, prose(rng, 150)) for k in range(60)]
+    words = {i: t.split() for i, t in rows}
+    found = substrings.passages(documents(spark, rows)).collect()
+    hit = set()
+    for r in found:
+        assert r.doc_id in planted and r.ref_doc_id == planted[r.doc_id][0]
+        _, start, end = planted[r.doc_id]
+        hit |= {r.doc_id} if min(end, r.end_word) - max(start, r.start_word) >= 0.7 * (end - start) else set()
+        own, other = words[r.doc_id][r.start_word:r.end_word], words[r.ref_doc_id][r.ref_start:r.ref_end]
+        table = np.zeros((len(own) + 1, len(other) + 1), int)
+        for i, x in enumerate(own):
+            for j, y in enumerate(other):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        n = max(len(own), len(other))
+        assert r.n_words == len(own) and n >= substrings.CORE and table[-1, -1] >= r.identity * n - 1e-9
+        assert r.identity >= substrings.IDENTITY
+    assert len(hit) >= 0.9 * len(planted)
+
+
+def test_grown_is_the_best_beginning():
+    rng = random.Random(44)
+    for _ in range(60):
+        a = [rng.randrange(500) for _ in range(30)]
+        b = [int(x) if not str(x).startswith("x") else 1000 + k for k, x in enumerate(changed_words(
+            rng, a, rng.choice([0.05, 0.15]), ["other", "more", "less"]))]
+        best = {(0, 0): (0, 0)}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                steps = [best[x] for x in ((i - 1, j), (i, j - 1)) if x in best]
+                values = [v[0] - substrings.DIFFERENCE for v in steps]
+                if (i - 1, j - 1) in best:
+                    same = a[i - 1] == b[j - 1]
+                    values.append(best[i - 1, j - 1][0] + (1 if same else -substrings.DIFFERENCE))
+                if values:
+                    best[i, j] = (max(values), 0)
+        x, y, same = substrings.grown(np.array(a, np.uint16), np.array(b, np.uint16))
+        top = max(v[0] for v in best.values())
+        assert best[x, y][0] == top and same <= min(x, y)
+
+
+def test_first_and_nearest_holders():
+    rng = np.random.default_rng(3)
+    key, row = rng.integers(0, 12, 80).astype(np.uint64), np.sort(rng.integers(0, 9, 80))
+    later, earlier, leading = substrings.paired(key, row, np.argsort(key, kind="stable"))
+    want = set()
+    for i in range(80):
+        before = [j for j in range(80) if key[j] == key[i] and row[j] < row[i]]
+        if before:
+            near = max(row[j] for j in before)
+            want |= {(i, before[0]), (i, min(j for j in before if row[j] == near))}
+        assert (i in leading.tolist()) == (not before)
+    assert set(zip(later.tolist(), earlier.tolist())) == want and len(later) == len(want)
 
 
 # --- embeddings ---------------------------------------------------------------------------

@@ -24,8 +24,10 @@ from stayrate.llm.common import map_arrow, pick, slices, utf8, with_fields
 
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pre-tokens whose ids a worker remembers, and the longest that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+# Letters of the pre-tokens whose ids a worker remembers, the ones it meets first.
+REMEMBERED = 6 << 20
+# Bytes up to which symbols stand in lists, which are faster than compact arrays.
+IN_LISTS = 4 << 20
 # Ids that one step of decoding holds.
 IDS = 1 << 19
 
@@ -58,6 +60,7 @@ class Vocabulary:
             self.bytes_of[number] = bytes(byte_of[c] for c in token) if known else token.encode()
         # pair -> rank, and by rank the left, right and made symbol.
         self.rank, self.parts = {}, []
+        self.known: Known | None = None  # of the worker that holds this copy
         made_at: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -69,10 +72,19 @@ class Vocabulary:
             self.parts.append((left, right, made))
         if any(made_at.get(s, -1) > r for r, (a, b, _) in enumerate(self.parts) for s in (a, b)):
             raise ValueError("a symbol of this vocabulary is made again after it is used")
+        pairs = np.array([(a << 32) + b for a, b in self.rank], np.int64)
+        self.pair_ranks = np.argsort(pairs, kind="stable")
+        self.pairs = pairs[self.pair_ranks]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, -1 for none."""
+        pair = (left.astype(np.int64) << 32) + right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.pair_ranks[at], -1)
 
-def merged(vocabulary: Vocabulary, tokens: list[bytes]) -> list[tuple[int, ...]]:
-    """Ids of each non-empty byte string.
+
+def merged(vocabulary: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes): ids of the non-empty byte strings one after another, and how many each has.
 
     A merge makes a symbol that is used by higher ranks only, so a rank is complete once it
     has been taken, and all its positions in all strings can merge together.
@@ -80,26 +92,30 @@ def merged(vocabulary: Vocabulary, tokens: list[bytes]) -> list[tuple[int, ...]]
     joined = b"".join(tokens)
     n = len(joined)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-    symbol = array("i", map(vocabulary.byte_ids.__getitem__, joined))
+    symbols = np.array(vocabulary.byte_ids, np.int64)[np.frombuffer(joined, np.uint8)]
     # Neighbours within the string; -1 at its ends.
-    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
-    for end in ends.tolist():
-        after[end - 1] = -1
-        if end < n:
-            before[end] = -1
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = -1
+    before[ends[:-1]] = -1
+    inside = np.flatnonzero(after >= 0)
+    ranks = vocabulary.ranks(symbols[inside], symbols[inside + 1])
+    inside, ranks = inside[ranks >= 0], ranks[ranks >= 0]
+    order = np.argsort(ranks, kind="stable")
+    inside, ranks = inside[order], ranks[order]
+    cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+    index = {rank: inside[a:b].tolist() for rank, a, b in zip(
+        ranks[cuts].tolist(), cuts, [*cuts[1:], len(ranks)])}
+
+    small = n <= IN_LISTS
+    symbol, after, before = (x.tolist() if small else array("i", x.tolist())
+                             for x in (symbols, after, before))
     rank_of, parts = vocabulary.rank.get, vocabulary.parts
-    index: dict[int, array] = {}
-    for at, pair in enumerate(zip(symbol, symbol[1:])):
-        rank = rank_of(pair)
-        if rank is not None and after[at] >= 0:
-            index.setdefault(rank, array("i")).append(at)
     active = list(index)
     heapify(active)
     while active:
         rank = heappop(active)
         left, right, made = parts[rank]
-        places = index.pop(rank)
-        for at in sorted(places):
+        for at in sorted(index.pop(rank)):
             to = after[at]
             if symbol[at] != left or to < 0 or symbol[to] != right:
                 continue  # this occurrence has merged into another pair
@@ -109,56 +125,76 @@ def merged(vocabulary: Vocabulary, tokens: list[bytes]) -> list[tuple[int, ...]]
                 before[beyond] = at
                 fresh = rank_of((made, symbol[beyond]))
                 if fresh is not None:
-                    if fresh not in index:
-                        index[fresh] = array("i")
+                    if fresh in index:
+                        index[fresh].append(at)
+                    else:
+                        index[fresh] = [at]
                         heappush(active, fresh)
-                    index[fresh].append(at)
             back = before[at]
             if back >= 0:
                 fresh = rank_of((symbol[back], made))
                 if fresh is not None:
-                    if fresh not in index:
-                        index[fresh] = array("i")
+                    if fresh in index:
+                        index[fresh].append(back)
+                    else:
+                        index[fresh] = [back]
                         heappush(active, fresh)
-                    index[fresh].append(back)
-    left_over = np.frombuffer(symbol, np.int32)
+    left_over = np.array(symbol, np.int32)
     alive = np.flatnonzero(left_over >= 0)
-    cuts = np.searchsorted(alive, ends).tolist()
-    ids = left_over[alive].tolist()
-    return [tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
+    return left_over[alive], np.diff(np.searchsorted(alive, ends), prepend=0)
+
+
+class Known(dict):
+    """Numbers of pre-tokens and special strings, and their ids as ``ids[start:start + size]``
+    by number. A new string gets the next number and is listed as ``fresh``."""
 
+    def __init__(self, special: dict[str, int]):
+        super().__init__(zip(special, range(len(special))))
+        self.ids = np.array(list(special.values()), np.int32)
+        self.sizes = np.ones(len(special), np.int64)
+        self.fresh: list[str] = []
+        self.letters = 0
 
-def encoder(vocabulary: Vocabulary):
-    """A function from texts to lists of ids that remembers frequent pre-tokens."""
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        self.fresh.append(token)
+        return number
+
+
+def encode(vocabulary: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes): ids of the texts one after another, and how many each has."""
     pre = regex.compile(PRE_TOKEN)
     special = regex.compile("(" + "|".join(
         regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")"
         if vocabulary.special else "(?!)")
-    known: dict[str, tuple[int, ...]] = {}
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        # Pre-tokens at the even places of a text, the special strings between them at the odd.
-        parts = [[part if i % 2 else pre.findall(part) for i, part in enumerate(special.split(text))]
-                 for text in texts]
-        every = chain.from_iterable(chain.from_iterable(own[::2]) for own in parts)
-        fresh = [t for t in set(every) if t not in known]
-        known.update(zip(fresh, merged(vocabulary, [t.encode("utf-8") for t in fresh])))
-        out = []
-        for own in parts:
-            ids = list(chain.from_iterable(map(known.__getitem__, own[0])))
-            for name, part in zip(own[1::2], own[2::2]):
-                ids.append(vocabulary.special[name])
-                ids.extend(chain.from_iterable(map(known.__getitem__, part)))
-            out.append(ids)
-        if len(known) > REMEMBERED:
-            known.clear()
+    if vocabulary.known is None:
+        vocabulary.known = Known(vocabulary.special)
+    known = vocabulary.known
+    pieces, counts = [], []
+    for text in texts:
+        cut = special.split(text)  # special strings stand at the odd places
+        own = pre.findall(text) if len(cut) == 1 else list(chain.from_iterable(
+            [part] if i % 2 else pre.findall(part) for i, part in enumerate(cut)))
+        pieces.append(own)
+        counts.append(len(own))
+    number = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, sum(counts))
+    fresh, known.fresh = known.fresh, []
+    ids, sizes = known.ids, known.sizes
+    if fresh:
+        new_ids, new_sizes = merged(vocabulary, [t.encode("utf-8") for t in fresh])
+        ids, sizes = np.concatenate([ids, new_ids]), np.concatenate([sizes, new_sizes])
+        letters = known.letters + sum(map(len, fresh))
+        if letters <= REMEMBERED:
+            known.ids, known.sizes, known.letters = ids, sizes, letters
         else:
             for token in fresh:
-                if len(token) > LONGEST:
-                    del known[token]
-        return out
-
-    return encode
+                del known[token]
+    own = sizes[number]
+    ends = np.cumsum(own)
+    # Places of all ids: of each piece the start in ``ids``, and counting on from there.
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[number] - ends + own, own)
+    by_text = np.diff(np.append(0, ends)[np.cumsum(counts)], prepend=0) if counts else np.zeros(0, np.int64)
+    return ids[at], by_text
 
 
 def encoded(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -175,17 +211,15 @@ def encoded(documents: DataFrame, vocabulary: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
     schema = with_fields(rows.select("doc_id"), "ids array<int>")
 
-    def encode(batches):
-        to_ids = encoder(shared.value)
+    def scan(batches):
         for part in slices(batches):
-            found = to_ids([t.decode("utf-8", "replace") for t in utf8(part)])
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+            ids, sizes = encode(shared.value, [t.decode("utf-8", "replace") for t in utf8(part)])
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
                 ["doc_id", "ids"])
 
-    return rows.transform(map_arrow, encode, schema)
+    return rows.transform(map_arrow, scan, schema)
 
 
 def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:

@@ -13,16 +13,19 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import deal, map_arrow, pick, runs, slices, stored, utf8
+from stayrate.llm.common import deal_numbered, map_arrow, pick, runs, slices, stored, utf8
 
 DEPTH, LEAST, COVERED, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 # Suffixes that a group should hold, and groups at most: beyond GROUPS * BUDGET words the
 # budget grows, so that the number of borders, which every task gets, stays bounded.
-BUDGET, GROUPS = 1 << 18, 1 << 18
+BUDGET, GROUPS = 1 << 20, 1 << 18
+# Suffixes in one row that is shuffled: the numbers of their words fit into two bytes.
+SENT = 1 << 14
 # Bytes of text whose equal suffixes are counted together before anything is shuffled.
 PORTION = 8 << 20
 # Bits of the filter that tells rare words; a rare word that passes costs time only.
@@ -45,18 +48,21 @@ def word_key(words: DataFrame) -> Column:
     return F.concat(words["lang"], F.lit("\t"), words["word"], F.lit("\t"))
 
 
+class Numbers(dict):
+    """Numbers of words from 1 on, in order of appearance; 0 for the end of a piece."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """Distinct words, and the sequence of their numbers from 1 on with 0 between pieces."""
     joined = b"\n".join([*texts, b""]).translate(LOWER)
-    words = pa.array(joined.replace(END, b" " + END + b" ").split(b" "), pa.binary()).dictionary_encode()
-    known, number, kept = [], [], []
-    for word in words.dictionary.to_pylist():
-        kept.append(bool(word))
-        if word and word != END:
-            known.append(word)
-        number.append(len(known) if word and word != END else 0)
-    codes = words.indices.to_numpy()
-    return known, np.array(number, np.int64)[codes[np.array(kept, bool)[codes]]]
+    numbers = Numbers({END: 0})
+    words = joined.replace(END, b" " + END + b" ").split()  # blanks alone are left as white space
+    sequence = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    return list(numbers)[1:], sequence
 
 
 def by_language(batches):
@@ -106,18 +112,21 @@ def passes(bits: bytes, key: bytes) -> bool:
                for at in (value % FILTER_BITS, (value >> 32) % FILTER_BITS))
 
 
-def suffix_counts(sequence: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes of ``depth`` words, as rows that hold 0 from the end of their piece
-    on, and their numbers."""
-    at = np.flatnonzero(sequence)
+def suffix_counts(sequence: np.ndarray, depth: int, at: np.ndarray | None = None):
+    """(rows, n): distinct suffixes of ``depth`` words, from all words on or from those at
+    ``at``, as rows that hold 0 from the end of their piece on, and their numbers."""
+    at = np.flatnonzero(sequence) if at is None else at
     padded = np.concatenate([sequence, np.zeros(depth, np.int64)])
-    columns, inside = [], np.ones(len(at), bool)
+    width = int(sequence.max(initial=0)) + 1
+    code, codes, columns, inside = np.zeros(len(at), np.int64), 1, [], np.ones(len(at), bool)
     for d in range(depth):
         inside &= padded[at + d] > 0
         columns.append(np.where(inside, padded[at + d], 0))
-    code = np.zeros(len(at), np.int64)
-    for column in columns:  # as large as the portion at most, so the products stay small
-        code = np.unique(code * (int(sequence.max(initial=0)) + 1) + column, return_inverse=True)[1]
+        if codes * width >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            codes = len(at)
+        code = code * width + columns[-1]
+        codes *= width
     _, first, n = np.unique(code, return_index=True, return_counts=True)
     return np.stack([c[first] for c in columns], axis=1), n
 
@@ -145,10 +154,9 @@ def longer_prefixes(rows: DataFrame, heavy: list[str], depth: int, bits) -> Data
                 key = key_of(lang, [word])
                 at = bisect_left(wanted, key)
                 head.append(at < len(wanted) and wanted[at].startswith(key))
-            found, n = suffix_counts(sequence, depth)
-            under = np.array(head)[found[:, 0]]
-            paths = [[names[i] for i in row if i] for row in found[under].tolist()]
-            kept = [(key_of(lang, p), c) for p, c in zip(paths, n[under].tolist())
+            found, n = suffix_counts(sequence, depth, np.flatnonzero(np.array(head)[sequence]))
+            paths = [[names[i] for i in row if i] for row in found.tolist()]
+            kept = [(key_of(lang, p), c) for p, c in zip(paths, n.tolist())
                     if key_of(lang, p[:depth - 1]) in keys]
             if kept:
                 yield pa.RecordBatch.from_arrays(
@@ -191,9 +199,14 @@ def borders(rows: DataFrame, words: DataFrame, bits, budget: int = BUDGET) -> li
     return sorted(r.key.encode("utf-8") for r in ordered.transform(map_arrow, pack, "key string").collect())
 
 
+PLACES = [f"w{d}" for d in range(DEPTH)]
+SHORT = 1 << 15
+
+
 def leaves(rows: DataFrame, starts, bits) -> DataFrame:
-    """(group, lang, words, suffixes, counts): the distinct suffixes of a portion that belong
-    to a group, as rows of DEPTH numbers into ``words`` (from 1 on, 0 behind the end)."""
+    """(group, lang, words, w0 ..., counts): distinct suffixes of a portion that belong to a
+    group. ``w0`` and so on hold the number in ``words`` of each suffix's words, from 1 on
+    and 0 behind its end, less SHORT."""
     def ship(batches):
         first = starts.value
         for lang, texts in by_language(batches):
@@ -206,36 +219,55 @@ def leaves(rows: DataFrame, starts, bits) -> DataFrame:
             low = np.array([bisect_right(first, k) - 1 for k in keys])
             high = np.array([bisect_right(first, k + AFTER) - 1 for k in keys])
             group = low[found[:, 0]]
-            for i in np.flatnonzero((low != high)[found[:, 0]]).tolist():
-                path = [names[j] for j in found[i].tolist() if j]
-                group[i] = bisect_right(first, key_of(lang, path)) - 1
+            cut = np.flatnonzero((low != high)[found[:, 0]])
+            for i, row in zip(cut.tolist(), found[cut].tolist()):
+                group[i] = bisect_right(first, key_of(lang, [names[j] for j in row if j])) - 1
             group = np.maximum(group, 0)
             order = np.argsort(group, kind="stable")
             found, n, group = found[order], n[order], group[order]
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            out = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)]):
-                used, local = np.unique(found[a:b], return_inverse=True)
-                if used[0]:
-                    used, local = np.append(0, used), local + 1
-                out.append((int(group[a]), [names[i] for i in used[1:].tolist()],
-                            local.reshape(-1).astype(np.int32), n[a:b]))
-            numbers = [np.cumsum([0, *(len(x[c]) for x in out)]).astype(np.int32) for c in (1, 2, 3)]
+            cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            parts = [(c, min(c + SENT, b)) for a, b in zip(cuts, [*cuts[1:], len(group)])
+                     for c in range(a, b, SENT)]
+            words, numbers = [], np.zeros(found.shape, np.int16)
+            for a, b in parts:
+                used, local = np.unique(np.append(0, found[a:b].reshape(-1)), return_inverse=True)
+                words.append([names[i] for i in used[1:].tolist()])
+                numbers[a:b] = local[1:].reshape(-1, DEPTH) - SHORT
+            ends = pa.array(np.array([0, *(b for _, b in parts)], np.int32))
+            word_ends = pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([lang] * len(out)),
-                 pa.ListArray.from_arrays(pa.array(numbers[0]), strings([w for x in out for w in x[1]])),
-                 pa.ListArray.from_arrays(pa.array(numbers[1]), pa.array(np.concatenate([x[2] for x in out]))),
-                 pa.ListArray.from_arrays(pa.array(numbers[2]), pa.array(np.concatenate([x[3] for x in out])))],
-                ["group", "lang", "words", "suffixes", "counts"])
-
-    return rows.transform(map_arrow, ship, "group int, lang string, words array<string>, "
-                                           "suffixes array<int>, counts array<bigint>")
+                [pa.array(group[[a for a, _ in parts]].astype(np.int32)), pa.array([lang] * len(parts)),
+                 pa.ListArray.from_arrays(word_ends, strings([w for own in words for w in own])),
+                 *(pa.ListArray.from_arrays(ends, pa.array(numbers[:, d].copy())) for d in range(DEPTH)),
+                 pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
+                ["group", "lang", "words", *PLACES, "counts"])
+
+    lists = "".join(f"{p} array<smallint>, " for p in PLACES)
+    return rows.transform(map_arrow, ship, f"group int, lang string, words array<string>, {lists}counts array<int>")
+
+
+def gathered(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, rows, counts) of the suffixes of a table of ``leaves``, numbered alike."""
+    table = table.combine_chunks()
+    lists = {c: table.column(c).combine_chunks() for c in ("words", *PLACES, "counts")}
+    words = lists["words"].flatten().dictionary_encode()
+    number = np.append(0, words.indices.to_numpy() + 1)
+    # Where the words of each row begin in the list of all, and the suffixes of each row.
+    base = np.append(0, np.cumsum(lists["words"].value_lengths().to_numpy()))[:-1]
+    base = np.repeat(base, lists["counts"].value_lengths().to_numpy())
+    columns = []
+    for place in PLACES:
+        local = lists[place].flatten().to_numpy().astype(np.int64) + SHORT
+        columns.append(number[np.where(local > 0, base + local, 0)])
+    return (["", *words.dictionary.to_pylist()], np.stack(columns, axis=1),
+            lists["counts"].flatten().to_numpy().astype(np.int64))
 
 
 def subtree(found: np.ndarray, n: np.ndarray):
     """(rows, totals) by depth: the nodes of that depth, as the index of a suffix below each
     and the sum of the leaves below it."""
-    order = np.lexsort(found.T[::-1])
+    pairs = [found[:, d] << 32 | found[:, d + 1] for d in range(0, found.shape[1], 2)]
+    order = np.lexsort(pairs[::-1])
     found, n = found[order], n[order]
     fresh = np.zeros(len(found), bool)
     fresh[0] = True
@@ -257,19 +289,8 @@ def phrase_counts(rows: DataFrame, words: DataFrame, least: int) -> DataFrame:
         first = starts.value
         for table in runs(batches, ["group"]):
             group = table.column("group")[0].as_py()
-            by_lang: dict[str, list[int]] = {}
-            for i, lang in enumerate(table.column("lang").to_pylist()):
-                by_lang.setdefault(lang, []).append(i)
-            for lang, own in by_lang.items():
-                number: dict[str, int] = {"": 0}
-                found, counts = [], []
-                for i in own:
-                    local = [0, *(number.setdefault(w, len(number))
-                                  for w in table.column("words")[i].as_py())]
-                    ids = table.column("suffixes")[i].values.to_numpy()
-                    found.append(np.array(local, np.int64)[ids].reshape(-1, DEPTH))
-                    counts.append(table.column("counts")[i].values.to_numpy())
-                found, counts = np.concatenate(found), np.concatenate(counts)
+            for lang in pc.unique(table.column("lang")).to_pylist():
+                names, found, counts = gathered(table.filter(pc.equal(table.column("lang"), lang)))
                 # Prefixes that the borders of this group cut go on in its neighbours.
                 cut = set()
                 for start in first[group:group + 2]:
@@ -277,7 +298,7 @@ def phrase_counts(rows: DataFrame, words: DataFrame, least: int) -> DataFrame:
                     if start.startswith(head):
                         path = start[len(head):-1].split("\t")
                         cut |= {tuple(path[:d]) for d in range(1, len(path))}
-                names = list(number)
+                number = {w: i for i, w in enumerate(names)} if cut else {}
                 for d, (at, total) in enumerate(subtree(found, counts), 1):
                     kept = total >= least
                     for path in cut:
@@ -291,8 +312,7 @@ def phrase_counts(rows: DataFrame, words: DataFrame, least: int) -> DataFrame:
                              pa.array([d] * m, pa.int32()), pa.array(total[kept])],
                             ["lang", "phrase", "m", "f"])
 
-    dealt = deal(leaves(rows, starts, bits), ["group"], ["group"])
-    counted = dealt.transform(map_arrow, build, "lang string, phrase string, m int, f bigint")
+    counted = deal_numbered(leaves(rows, starts, bits), "group").transform(map_arrow, build, "lang string, phrase string, m int, f bigint")
     return counted.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayrate.llm import bpe, periods, phrases, queries
+from stayrate.llm.common import pick
 from tests.llm.test_operators import documents, odd_rows, prose
 
 
@@ -43,14 +44,22 @@ def test_round_trip_agrees_with_the_library(spark, sf_dir, library):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == {i: library_row(library, t) for i, t in texts.items()}
 
 
-def test_encoding_of_hard_texts(path, library):
+def test_encoding_of_hard_texts(path, library, monkeypatch):
     rng = random.Random(3)
     vocabulary = bpe.Vocabulary(path)
     texts = ["", "a", "\n\n x<|endoftext|>y<|endoftext|><|endoftext|>", "a" * 3000, "ab" * 900, "\u0000�😀漢字",
              "it's we'll \t don't", " " * 70, "<|endoftext|"]
     texts += ["".join(rng.choice("aabcdeé \n'sth漢<|endof>12") for _ in range(rng.randrange(60)))
               for _ in range(500)]
-    assert bpe.encoder(vocabulary)(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered, lists in ((1 << 22, 1 << 22), (300, 10)):  # the second time little is known
+        monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+        monkeypatch.setattr(bpe, "IN_LISTS", lists)
+        for k in (0, 200):  # what the first texts taught serves the others
+            ids, sizes = bpe.encode(vocabulary, texts[k:])
+            assert [a.tolist() for a in np.split(ids, np.cumsum(sizes)[:-1])] == want[k:]
+        vocabulary.known = None
+    assert bpe.encode(vocabulary, [])[1].tolist() == []
 
 
 def test_decoding_of_any_ids(spark, path, library):
@@ -137,7 +146,7 @@ def test_phrases_agree_with_brute_force(spark, monkeypatch, budget):
 
 def test_heavy_prefixes_are_lengthened(spark):
     rows = phrase_rows(spark, [("en", "hot pair one hot pair two " * 100), ("en", "cold " * 5 + "last " * 40)])
-    rows = rows.select(F.col("lang"), F.col("text"))
+    rows = pick(rows, "lang", "text")
     words = phrases.word_counts(rows)
     bits = spark.sparkContext.broadcast(phrases.frequent_bits(words))
     starts = phrases.borders(rows, words, bits, 90)

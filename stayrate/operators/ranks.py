@@ -21,14 +21,27 @@ from pyspark.sql import types as T
 from stayrate.sources import staging
 
 
-def _default_buckets(df: DataFrame) -> int:
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4096, 4 * width))
+# Rows that a bucket of values should hold, but for values that alone hold more.
+ROWS_PER_BUCKET = 1 << 20
 
 
-def _edges(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]:
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(c, probs, 1000).alias(c) for c in columns]).first()
+def _default_buckets(df: DataFrame) -> int:
+    return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _edges(df: DataFrame, columns: list[str], buckets: int | None) -> list[list[float]]:
+    """Edges between about evenly filled buckets, as many as the rows ask for. The sketch is
+    ten times finer than they are, so a bucket, and with it a window's task, stays as large
+    however many values there are."""
+    asked = buckets or _default_buckets(df)
+    while True:
+        probs = [i / asked for i in range(1, asked)]
+        row = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+            F.percentile_approx(c, probs, max(1000, 10 * asked)).alias(c) for c in columns]).first()
+        needed = -(-row["_rows"] // ROWS_PER_BUCKET)
+        if buckets or needed <= asked:
+            break
+        asked = needed
     edges = []
     for c in columns:
         inner = sorted({float(x) for x in row[c] or [] if math.isfinite(x)}) or [0.0]
@@ -38,14 +51,14 @@ def _edges(df: DataFrame, columns: list[str], buckets: int) -> list[list[float]]
 
 def even_edges(df: DataFrame, low: float, high: float) -> list[float]:
     """Equal-width edges, for values known to be spread evenly over [low, high)."""
-    n = _default_buckets(df)
+    n = max(_default_buckets(df), -(-df.count() // ROWS_PER_BUCKET))
     return [-math.inf, *[low + (high - low) * i / n for i in range(1, n)], math.inf]
 
 
 def _bucketize(df: DataFrame, columns: list[str], buckets: int | None,
                edges: list[list[float]] | None = None) -> DataFrame:
     """Add ``_b_<column>``: the ordinal of the value range a value falls in."""
-    edges = edges or _edges(df, columns, buckets or _default_buckets(df))
+    edges = edges or _edges(df, columns, buckets)
     return Bucketizer(inputCols=columns, outputCols=[f"_b_{c}" for c in columns],
                       splitsArray=edges, handleInvalid="keep").transform(df)
 

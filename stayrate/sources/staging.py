@@ -23,7 +23,6 @@ SWITCH = "spark.stayrate.stageTables"
 BUCKETS = "spark.stayrate.buckets"
 # Line-item bytes that feed one bucket; an account row is far smaller than its lines.
 BYTES_PER_BUCKET = 4 * 1024**3
-MOST_BUCKETS = 100_000
 
 _written: dict[tuple[str, str, str], str] = {}
 _lock = threading.RLock()
@@ -39,7 +38,7 @@ def bucket_count(spark: SparkSession, sf_dir: str) -> int:
     size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = min(width, spark.sparkContext.defaultParallelism)
-    return min(MOST_BUCKETS, max(base, -(-size // BYTES_PER_BUCKET)))
+    return max(base, -(-size // BYTES_PER_BUCKET))
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
@@ -64,6 +63,15 @@ def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     return spark.table(_written[key])
 
 
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the tables written from ``sf_dir``, whose files have changed: they are written
+    anew on next use. Frames that were read from them before must be built again."""
+    with _lock:
+        for key in [k for k in _written if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+            spark.sql(f"DROP TABLE IF EXISTS {_written.pop(key)}")
+    spark.catalog.refreshByPath(sf_dir)
+
+
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back, for frames read several times.
 

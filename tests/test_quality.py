@@ -183,3 +183,16 @@ def test_renamed_and_unlisted_services_stay(spark, tmp_path):
     listed = spark.createDataFrame([("Provider_Cloud", "Cloud")], "Service_Name string, Service_Category string")
     rows = reports.churn_by_service(accounts(spark, [{}]), held, listed).collect()
     assert {(r.Service_Name, r.Service_Category) for r in rows} == {("Provider_Cloud", "Cloud"), ("Other", None)}
+
+
+def test_refresh_reads_changed_files(spark, sf_dir, tmp_path):
+    from stayrate.sources import staging
+    folder = str(tmp_path / "tables")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.filter("p_brand < 'Brand#3'").write.parquet(f"{folder}/part.parquet")
+    before = staging.catalog(spark, folder).count()
+    part.write.mode("overwrite").parquet(f"{folder}/part.parquet")
+    assert staging.catalog(spark, folder).count() == before
+    staging.refresh(spark, folder)
+    after = staging.catalog(spark, folder).count()
+    assert after == part.select("p_brand").distinct().count() > before

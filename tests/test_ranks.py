@@ -93,3 +93,17 @@ def test_no_single_partition_and_no_python(spark):
     plan = ranks.attach_rank_pct(df, "x", "p")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("distinct", [4_000, 40_000])
+def test_buckets_stay_as_large_as_values_grow(spark, monkeypatch, distinct):
+    """A third of the rows is one value; the largest bucket depends on ROWS_PER_BUCKET alone."""
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 100)
+    rows = spark.range(distinct * 3 // 2).select(F.when(F.col("id") < distinct, (F.col("id") * 7919 % distinct) / 8)
+                                                 .otherwise(5.0).alias("x"))
+    cut = ranks._bucketize(rows, ["x"], None).groupBy("_b_x").agg(F.countDistinct("x").alias("n"))
+    assert cut.agg(F.max("n")).first()[0] <= 150
+    counts = ranks.running_counts(rows, ["x"])
+    assert counts.count() == distinct
+    low, high = counts.agg(F.min(F.when(F.col("value") > 5, F.col("before_n"))), F.max(F.col("before_n") + F.col("n"))).first()
+    assert low == 41 + distinct // 2 and high == distinct * 3 // 2

@@ -403,9 +403,15 @@ _DROPPED = ("Customer_ID", "Company_Name", "Churn_Date", "Churn_Reason", "Churn_
 _MODEL = [c for c in _FULL_COLUMNS if c not in _DROPPED] + [
     "CLV", "Tickets_per_Tenure_Year", "Complaint_Satisfaction_Gap", "Contract_Ending_Soon",
     "Price_Pressure", "Revenue_Weighted_Downtime", "Company_Size_Rank", "Services_per_Size_Tier"]
-check("feature_columns", "account", "SELECT i AS Position, c AS Column_Name, n AS Non_Null FROM (VALUES "
-      + ", ".join(f"(CAST({i} AS BIGINT), '{c}')" for i, c in enumerate(_MODEL, 1))
-      + ") t(i, c), (SELECT count(*) AS n FROM account)")
+# Ratios and products of the engineered inputs are numbers, flags and ranks integers.
+_ENGINEERED = {"CLV": "number", "Tickets_per_Tenure_Year": "number", "Complaint_Satisfaction_Gap": "number",
+               "Contract_Ending_Soon": "integer", "Price_Pressure": "number",
+               "Revenue_Weighted_Downtime": "number", "Company_Size_Rank": "integer",
+               "Services_per_Size_Tier": "number"}
+check("feature_columns", "acct", " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS Position, '{c}' AS Column_Name, "
+    + (f"'{_ENGINEERED[c]}'" if c in _ENGINEERED else neutral_type(c))
+    + " AS Data_Type, count(*) AS Non_Null FROM acct" for i, c in enumerate(_MODEL, 1)))
 _CATS = ("Company_Size", "Industry", "Customer_Type", "Customer_Segment", "State", "City",
          "Region", "Contract_Type", "Competitor_Threat_Level")
 check("one_hot", "account", " UNION ALL ".join(

@@ -75,14 +75,17 @@ def fill_structural_nulls(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, key: str = "Customer_ID", order: str | None = None) -> DataFrame:
     """The first row per key by ``order`` (an ingest-order column).
 
-    Keys are counted first. Rows of unique keys pass through without an exchange where the
-    repeated keys are few enough to broadcast, which their written size decides. Repeated
+    Keys are counted first; where none repeats, the rows are returned as they are. Else rows
+    of unique keys pass through without an exchange where the repeated keys are few enough
+    to broadcast, which their written size decides. Repeated
     keys are settled by a minimum over structs: map-side combining leaves one candidate
     per key and task, however often a key repeats. Without an order column the smallest
     row by column values is kept, so the choice is repeatable.
     """
     counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     repeated = staging.materialized(counts.filter(F.col("_n") > 1).select("_key"), "repeated-keys")
+    if repeated.isEmpty():
+        return df
     same = F.col(key).eqNullSafe(F.col("_key"))
     unique = df.join(repeated, same, "left_anti")
     rest = [c for c in df.columns if c != key]
@@ -117,49 +120,44 @@ def integrity_report(customers: DataFrame, bridge: DataFrame, catalog: DataFrame
                      predictions: DataFrame) -> DataFrame:
     """Violations of the declared primary and foreign keys, one row per constraint.
 
-    Every table is reduced to its keys and their row counts once, in one written table;
-    all constraints read those.
+    Rows are counted per key, all tables side by side: one aggregation by customer and one
+    by service tell repeated keys and those without a parent. A missing key is an orphan.
     """
-    def keyed(table: str, df: DataFrame, *keys: str) -> DataFrame:
-        named = [F.col(k) if k in keys else F.lit(None).cast(kind).alias(k)
-                 for k, kind in (("Customer_ID", customers.schema["Customer_ID"].dataType),
-                                 ("Service_Name", "string"))]
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                .select(F.lit(table).alias("_table"), *named, "_n"))
-
-    counts = staging.materialized(
-        keyed("customers", customers, "Customer_ID")
-        .unionByName(keyed("catalog", catalog, "Service_Name"))
-        .unionByName(keyed("bridge", bridge, "Customer_ID", "Service_Name"))
-        .unionByName(keyed("predictions", predictions, "Customer_ID")), "key-counts")
-
-    def of(table: str) -> DataFrame:
-        return counts.filter(F.col("_table") == table)
-
-    def violations(df: DataFrame, amount: Column, label: str) -> DataFrame:
-        return df.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("Violations")).select(
-            F.lit(label).alias("Constraint_Name"), "Violations")
-
-    def extra(table: str, label: str) -> DataFrame:
-        return violations(of(table), F.col("_n") - 1, label)
-
-    def orphans(child: str, parent: str, key: str, label: str) -> DataFrame:
-        per_key = of(child).groupBy(key).agg(F.sum("_n").alias("_n"))
-        return violations(per_key.join(of(parent).select(key), key, "left_anti"), F.col("_n"), label)
-
-    parts = [
-        extra("customers", "pk_customers"),
-        extra("catalog", "pk_service_catalog"),
-        extra("bridge", "pk_customer_services"),
-        extra("predictions", "pk_churn_predictions"),
-        orphans("bridge", "customers", "Customer_ID", "fk_services_customer"),
-        orphans("bridge", "catalog", "Service_Name", "fk_services_catalog"),
-        orphans("predictions", "customers", "Customer_ID", "fk_predictions_customer"),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    def counted(df: DataFrame, key: str, **amounts: Column) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return df.select(key, *[amounts.get(n, zero).cast("bigint").alias(n)
+                                for n in ("parent", "child", "other", "extra")])
+
+    def below(parts: list[DataFrame], key: str) -> DataFrame:
+        rows = parts[0].unionByName(parts[1])
+        for part in parts[2:]:
+            rows = rows.unionByName(part)
+        return rows.groupBy(key).agg(*[F.sum(n).alias(n) for n in ("parent", "child", "other", "extra")])
+
+    one, n = F.lit(1), F.col("_n")
+    pairs = bridge.groupBy("Customer_ID", "Service_Name").agg(F.count(F.lit(1)).alias("_n"))
+    by_customer = below([counted(customers, "Customer_ID", parent=one),
+                         counted(pairs, "Customer_ID", child=n, extra=n - 1),
+                         counted(predictions, "Customer_ID", other=one)], "Customer_ID")
+    by_service = below([counted(catalog, "Service_Name", parent=one),
+                        counted(bridge.groupBy("Service_Name").agg(F.count(F.lit(1)).alias("_n")),
+                                "Service_Name", child=n)], "Service_Name")
+
+    def found(df: DataFrame, key: str, **amounts: Column) -> DataFrame:
+        lost = (F.col("parent") == 0) | F.col(key).isNull()
+        return df.agg(*[F.coalesce(F.sum(a if name.startswith("pk") else F.when(lost, a)), F.lit(0))
+                        .cast("bigint").alias(name) for name, a in amounts.items()])
+
+    def again(count: str) -> Column:
+        return F.greatest(F.col(count) - 1, F.lit(0))
+
+    figures = found(by_customer, "Customer_ID", pk_customers=again("parent"),
+                    pk_customer_services=F.col("extra"), pk_churn_predictions=again("other"),
+                    fk_services_customer=F.col("child"), fk_predictions_customer=F.col("other")).crossJoin(
+        found(by_service, "Service_Name", pk_service_catalog=again("parent"),
+              fk_services_catalog=F.col("child")))  # one row each
+    return _tall(figures, [(F.lit(name).alias("Constraint_Name"), F.col(name).alias("Violations"))
+                           for name in figures.columns])
 
 
 def validation_report(df: DataFrame, key: str = "Customer_ID") -> DataFrame:

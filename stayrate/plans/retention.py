@@ -32,10 +32,13 @@ def complete_accounts(accounts: DataFrame) -> DataFrame:
 def score_with_scorecard(accounts: DataFrame) -> DataFrame:
     """Clean the accounts, score them, and derive every prediction column.
 
-    The clean rows are written once: three statistics passes and the scoring read them.
+    Where rows had to go, the clean ones are written once: three statistics passes and the
+    scoring read them.
     """
-    clean = staging.materialized(
-        quality.keep_first(quality.fill_structural_nulls(complete_accounts(accounts))), "clean")
+    filled = quality.fill_structural_nulls(complete_accounts(accounts))
+    clean = quality.keep_first(filled)
+    if clean is not filled:
+        clean = staging.materialized(clean, "clean")
     return scoring.score_accounts(clean, Scorecard.fit(clean), scoring.Population.fit(clean))
 
 

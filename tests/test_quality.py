@@ -133,7 +133,9 @@ def test_null_keys_are_one_key(spark):
 
 
 def test_unique_rows_are_not_shuffled_for_deduplication(spark):
-    df = spark.range(500).select(F.col("id").alias("Customer_ID"), F.lit("v").alias("x"))
+    unique = spark.range(500).select(F.col("id").alias("Customer_ID"), F.lit("v").alias("x"))
+    assert quality.keep_first(unique, order="x") is unique  # none repeats: nothing to do at all
+    df = spark.range(501).select((F.col("id") % 500).alias("Customer_ID"), F.lit("v").alias("x"))
     plan = quality.keep_first(df, order="x")._jdf.queryExecution().executedPlan().toString()
     unique_part = plan.split("SortAggregate")[0]
     assert "LeftAnti" in unique_part and "Exchange hashpartitioning" not in unique_part
@@ -196,3 +198,15 @@ def test_refresh_reads_changed_files(spark, sf_dir, tmp_path):
     staging.refresh(spark, folder)
     after = staging.catalog(spark, folder).count()
     assert after == part.select("p_brand").distinct().count() > before
+
+
+def test_integrity_of_missing_keys(spark):
+    customers = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "Customer_ID bigint")
+    catalog = spark.createDataFrame([("a",), ("b",), ("b",)], "Service_Name string")
+    bridge = spark.createDataFrame([(1, "a"), (1, "a"), (2, "z"), (9, "b"), (None, "a"), (2, None), (None, None)],
+                                   "Customer_ID bigint, Service_Name string")
+    predictions = spark.createDataFrame([(2,), (2,), (7,), (None,)], "Customer_ID bigint")
+    got = {r[0]: r[1] for r in quality.integrity_report(customers, bridge, catalog, predictions).collect()}
+    assert got == {"pk_customers": 2, "pk_service_catalog": 1, "pk_customer_services": 1,
+                   "pk_churn_predictions": 1, "fk_services_customer": 3, "fk_services_catalog": 3,
+                   "fk_predictions_customer": 2}

@@ -66,12 +66,19 @@ def numbered_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def by_language(batches):
-    """(language, texts) of portions of the batches."""
-    for part in slices(batches, limit=PORTION):
-        own: dict[str, list[bytes]] = {}
+    """(language, texts) of portions of the batches. Texts wait until their language has a
+    portion, or all languages together have four."""
+    own: dict[str, list[bytes]] = {}
+    held: dict[str, int] = {}
+    for part in slices(batches):
         for lang, text in zip(part.column("lang").to_pylist(), utf8(part)):
             own.setdefault(lang, []).append(text)
-        yield from own.items()
+            held[lang] = held.get(lang, 0) + len(text)
+        every = sum(held.values()) >= 4 * PORTION
+        for lang in [x for x, size in held.items() if every or size >= PORTION]:
+            held.pop(lang)
+            yield lang, own.pop(lang)
+    yield from own.items()
 
 
 def strings(values: list[bytes]) -> pa.Array:
@@ -205,8 +212,8 @@ SHORT = 1 << 15
 
 def leaves(rows: DataFrame, starts, bits) -> DataFrame:
     """(group, lang, words, w0 ..., counts): distinct suffixes of a portion that belong to a
-    group. ``w0`` and so on hold the number in ``words`` of each suffix's words, from 1 on
-    and 0 behind its end, less SHORT."""
+    group. ``words`` are parted by tabs; ``w0`` and so on hold the number among them of each
+    suffix's words, from 1 on and 0 behind its end, less SHORT."""
     def ship(batches):
         first = starts.value
         for lang, texts in by_language(batches):
@@ -231,25 +238,25 @@ def leaves(rows: DataFrame, starts, bits) -> DataFrame:
             words, numbers = [], np.zeros(found.shape, np.int16)
             for a, b in parts:
                 used, local = np.unique(np.append(0, found[a:b].reshape(-1)), return_inverse=True)
-                words.append([names[i] for i in used[1:].tolist()])
+                words.append(TAB.join([names[i] for i in used[1:].tolist()]))
                 numbers[a:b] = local[1:].reshape(-1, DEPTH) - SHORT
             ends = pa.array(np.array([0, *(b for _, b in parts)], np.int32))
-            word_ends = pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(group[[a for a, _ in parts]].astype(np.int32)), pa.array([lang] * len(parts)),
-                 pa.ListArray.from_arrays(word_ends, strings([w for own in words for w in own])),
+                 strings(words),
                  *(pa.ListArray.from_arrays(ends, pa.array(numbers[:, d].copy())) for d in range(DEPTH)),
                  pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
                 ["group", "lang", "words", *PLACES, "counts"])
 
     lists = "".join(f"{p} array<smallint>, " for p in PLACES)
-    return rows.transform(map_arrow, ship, f"group int, lang string, words array<string>, {lists}counts array<int>")
+    return rows.transform(map_arrow, ship, f"group int, lang string, words string, {lists}counts array<int>")
 
 
 def gathered(table: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(words, rows, counts) of the suffixes of a table of ``leaves``, numbered alike."""
     table = table.combine_chunks()
     lists = {c: table.column(c).combine_chunks() for c in ("words", *PLACES, "counts")}
+    lists["words"] = pc.split_pattern(lists["words"], "\t")
     words = lists["words"].flatten().dictionary_encode()
     number = np.append(0, words.indices.to_numpy() + 1)
     # Where the words of each row begin in the list of all, and the suffixes of each row.

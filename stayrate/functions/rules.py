@@ -145,6 +145,7 @@ def recommended_action(tier: Column, acv_p75: float) -> Column:
 
 def profile_reasons() -> Column:
     c = F.col
+    # Thresholds and texts, in the order in which reasons are listed.
     rules = [
         (c("Downtime_Hours") > 30, "high downtime"),
         (c("Number_of_Complaints") > 5, "high complaint volume"),

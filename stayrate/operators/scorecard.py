@@ -100,7 +100,8 @@ class Scorecard:
 
 
 def reason_scores(moments: dict[str, tuple[float, float]]) -> dict[str, Column]:
-    """Scores of the deterministic churn reasons, in tie-break order."""
+    """Scores of the deterministic churn reasons, in tie-break order. Names and weights are
+    fixed values."""
     def z(name: str) -> Column:
         return stats.zscore(name, *moments[name])
 

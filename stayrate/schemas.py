@@ -44,7 +44,7 @@ PREDICTIONS_SQL = """
     Revenue_at_Risk DECIMAL(14,2), Main_Risk_Factor STRING, Recommended_Action STRING
 """
 
-# Column order of the two prediction exports.
+# Column names and order of the two prediction exports.
 PREDICTION_COLUMNS = [
     "Customer_ID", "Company_Name", "Industry", "State", "City", "Annual_Contract_Value",
     "Churn_Probability", "Risk_Category", "Revenue_at_Risk", "CLV", "Retention_Priority_Score",

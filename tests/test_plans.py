@@ -72,3 +72,15 @@ def test_few_scans_for_ranks(spark, sf_dir):
     """Ranks are written once: the rows are read again only to receive them."""
     text = plan(QUERIES["acv_percentile_rank"](spark, sf_dir))
     assert text.count("FileScan parquet") <= 3, text
+
+
+def test_line_joins_carry_no_flag_texts(spark, sf_dir):
+    """Two small flags go through the joins of the line items, and the days once known."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = derived.derive_usage(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plan[:plan.index("Join Inner, (l_orderkey")]
+    assert "l_returnflag" not in above and "l_linestatus" not in above and "l_shipdate#" not in above.split("datediff")[0]

@@ -25,6 +25,8 @@ from stayrate.llm.components import components
 BITS = 64
 # Rows of a bucket chunk; a comparison task step holds two of them.
 CHUNK = 1024
+# Digests of rows that are sent to every executor at most, about 100 bytes each there.
+MOST_SENT = 1 << 21
 _LANES = np.uint64(BITS)
 
 
@@ -203,8 +205,13 @@ def text_digest(text: Column) -> Column:
 
 
 def row_digest(doc_id: Column, h: Column) -> Column:
-    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")),
-                          F.lit("\n"), h))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")),
+                                  F.lit("\n"), h)))
+
+
+def _sent(digests: DataFrame) -> DataFrame:
+    """``digests`` marked to be broadcast, unless they are too many for an executor."""
+    return F.broadcast(digests) if digests.count() <= MOST_SENT else digests
 
 
 def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
@@ -213,7 +220,8 @@ def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
     ``doc_id``, ``h`` and ``root`` of every row.
 
     Only digests of the rows that go, or that are repeated, are joined with the documents;
-    texts are shuffled where Spark finds those digests too many to broadcast.
+    those are broadcast, so that texts stay where they are, and only where there are more than
+    MOST_SENT of them are texts shuffled.
     """
     rows = stored(groups.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "rows")
     first = stored(rows.groupBy("root").agg(F.min(F.struct(
@@ -227,10 +235,11 @@ def one_per_group(documents: DataFrame, groups: DataFrame) -> DataFrame:
     plain, names, at = numbered(documents)
     keyed = plain.withColumn("row", row_digest(
         F.col(at["doc_id"]), text_digest(F.col(at["text"]))))
-    gone = stored(flags.where("not kept").select("row"), "gone")
+    gone = _sent(stored(flags.where("not kept").select("row"), "gone"))
     out = keyed.join(gone, "row", "left_anti")
     repeated = stored(flags.where("kept").select("row"), "repeated")
     if not repeated.isEmpty():
+        repeated = _sent(repeated)
         once = out.join(repeated, "row", "left_semi").dropDuplicates(["row"])
         out = out.join(repeated, "row", "left_anti").unionByName(once)
     return out.drop("row").toDF(*names)

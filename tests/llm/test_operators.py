@@ -139,6 +139,27 @@ def test_rows_without_id_and_repeated_ids_are_kept_by_row(spark):
 
 # --- components ---------------------------------------------------------------------------
 
+def test_dropping_near_copies_shuffles_no_texts(spark):
+    """Whatever the threshold for broadcasts: digests go to the documents, up to MOST_SENT."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, words) for i in range(6)] + [(1, words)] + [(10, "some other words here")] * 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = simhash.kept_documents(documents(spark, rows))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r[0] for r in out.collect()) == [0, 10]
+        few = simhash.MOST_SENT
+        simhash.MOST_SENT = 0
+        try:
+            assert sorted(r[0] for r in simhash.kept_documents(documents(spark, rows)).collect()) == [0, 10]
+        finally:
+            simhash.MOST_SENT = few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(100, 160)]

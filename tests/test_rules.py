@@ -79,6 +79,18 @@ def test_explanation_falls_back_and_breaks_ties_by_name(spark):
     assert tied["Top_Risk_Factors"] == "Mid, Alpha Y, Zeta X"
 
 
+def test_only_raising_factors_are_sorted(spark):
+    """The array of all inputs was sorted by an expression asked of each two of them. Null, nan,
+    lowering and vanishing inputs name no factor; equal ones beyond six digits go by name."""
+    df = spark.createDataFrame([(1, 0.2, None), (2, float("nan"), 0.2000000001), (3, -0.1, 1e-9), (4, None, None)],
+                               "Customer_ID int, a double, b double")
+    out = scoring.explain(df, {"Zed": F.col("a"), "Bee": F.col("b"), "Cat": F.lit(0.2), "Dog": F.lit(0.1),
+                               "Ape": F.lit(0.3)})
+    assert column(out, "Top_Risk_Factors") == ["Ape, Cat, Zed", "Ape, Bee, Cat", "Ape, Cat, Dog", "Ape, Cat, Dog"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort" not in plan and "sort_array(filter" in plan
+
+
 def test_rates_of_empty_and_extreme_slices(spark):
     df = accounts(spark, [{"State": "none"}, {"State": "all", "Churn": 1}])
     rate = {r["State"]: r["Churn_Rate_Pct"] for r in measures.churn_summary(df, "State").collect()}

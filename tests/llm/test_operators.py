@@ -272,6 +272,44 @@ def test_passage_of_lines_that_other_texts_hold(spark):
     assert found == {(7, 4): (30, 105, 1.0)}
 
 
+def test_passage_all_of_whose_seeds_have_other_holders(spark):
+    """Every seed of the passage that rows 40 and 80 share has its first and its nearest earlier
+    holder among rows that have 30 words of it."""
+    rng = random.Random(45)
+    words = prose(rng, 60).split()
+    pieces = [words[a:a + 30] for a in (0, 8, 15, 23, 30)]
+    rows = [(i, f"{prose(rng, 45)} {' '.join(pieces[i % 5])} {prose(rng, 45)}") for i in range(100)]
+    rows[40] = 40, f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}"
+    rows[80] = 80, f"{prose(rng, 33)} {' '.join(words[:31] + ['other'] + words[32:])} {prose(rng, 20)}"
+    found = [tuple(r) for r in substrings.passages(documents(spark, rows)).collect()]
+    assert found == [(80, 33, 93, 40, 30, 90, 60, 59 / 60)]
+
+
+def test_alike_rows_against_plain_counts(monkeypatch):
+    """Surroundings are told apart as by counting their equal pairs, in one cell or in several."""
+    rng = np.random.default_rng(46)
+    base = rng.integers(0, 40, (6, 300))
+    texts = [np.where(rng.random(300) < rng.choice([0.05, 0.2, 0.5]), rng.integers(0, 40, 300), base[rng.integers(6)])
+             for _ in range(60)]
+    for t in texts:
+        t[140:145] = 7
+    at, name, place = np.array([140]), np.array([3]), np.arange(60)
+    seen = np.concatenate([substrings.surroundings(t.astype(np.uint16), at, name, [(0, 300)] if k % 3 else [])
+                           for k, t in enumerate(texts)])
+    assert seen["loose"].tolist() == [k % 3 == 0 for k in range(60)]
+    low, high = 140 - substrings.REACH, 145 + substrings.REACH
+    middle = substrings.REACH + substrings.K // 2
+    counts = [Counter((a - low < middle, *t[a:a + 2].tolist()) for a in range(low, high - 1)) for t in texts]
+    want = {(i, j) for i in range(0, 60, 3) for j in range(i)
+            if sum((counts[i] & counts[j]).values()) >= substrings.COMMON}
+    monkeypatch.setattr(substrings, "PAIRS", 50)
+    got = substrings.alike_rows(place, seen)
+    assert want and set(zip(*got.tolist())) == want
+    parts = [substrings.alike_rows(place[:30], seen[:30])]
+    parts += [substrings.alike_rows(place[30:], seen[30:]), substrings.alike_rows(place, seen, 30)]
+    assert set(zip(*np.concatenate(parts, axis=1).tolist())) == want
+
+
 def changed_words(rng, words, share, kinds):
     out = words[:]
     for at in sorted(rng.sample(range(len(words)), round(len(words) * share)), reverse=True):
